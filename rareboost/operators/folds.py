@@ -82,6 +82,8 @@ def assign_folds(df: DataFrame, k: int, by: str = "random", seed: int = 42, time
         if not time:
             raise ValueError("temporal folds need a time column")
         return temporal_folds(df, time, k)
+    if by == "shuffled":
+        return shuffled_folds(df, k, seed)
     return stratified_folds(df, k, seed)
 
 

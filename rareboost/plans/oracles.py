@@ -171,3 +171,36 @@ def boost_sql(rounds: int = 2, depth: int = DEMO_DEPTH, calibrate: bool = True)
             f"f.leaf AS leaf{r}, f.value AS value{r}, f.prob AS prob{r} FROM routed{r} q JOIN t{r}_final f USING (node))"
         )
     return ",\n".join(parts)
+
+
+def isotonic_sql(src: str, score: str, label: str = "y") -> str:
+    """CTEs ``pts`` (distinct scores), ``iso`` (fitted values, max-min form) and ``bps`` (breakpoints)."""
+    return f"""pts AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY score) - 1 AS i, sum(y * w) OVER (ORDER BY score) AS sy, sum(w) OVER (ORDER BY score) AS sw FROM (
+    SELECT min({score}) AS score, avg({label}) AS y, CAST(count(*) AS DOUBLE) AS w FROM {src} GROUP BY round({score}, 9))),
+iso AS MATERIALIZED (
+  SELECT p.i, p.score, p.y, p.w, least(greatest(f.fitted, 0), 1) AS fitted FROM pts p JOIN (
+    SELECT k AS i, max(low) AS fitted FROM (
+      SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS low FROM (
+        SELECT a.i AS j, b.i AS k, (b.sy - a.sy + a.y * a.w) / (b.sw - a.sw + a.w) AS m FROM pts a JOIN pts b ON b.i >= a.i))
+    GROUP BY k) f USING (i)),
+blk AS MATERIALIZED (
+  SELECT *, CAST(sum(starts) OVER (ORDER BY i) - 1 AS INTEGER) AS block FROM (
+    SELECT *, CASE WHEN abs(fitted - lag(fitted) OVER (ORDER BY i)) < 1e-9 THEN 0 ELSE 1 END AS starts FROM iso)),
+bps AS MATERIALIZED (
+  SELECT CAST(block * 3 + part AS INTEGER) AS seq, b.score, prob FROM (
+    SELECT block, unnest(CASE WHEN hi > lo THEN [lo, (lo + hi) // 2, hi] ELSE [lo] END) AS i,
+      unnest(CASE WHEN hi > lo THEN [0, 1, 2] ELSE [0] END) AS part, prob FROM (
+        SELECT block, min(i) AS lo, max(i) AS hi, min(fitted) AS prob FROM blk GROUP BY block)) JOIN (SELECT i, score FROM pts) b USING (i))"""
+
+
+def isotonic_apply_sql(src: str, score: str, out: str) -> str:
+    """CTE ``out``: src with ``prob`` interpolated between the breakpoints ``bps``."""
+    return f"""{out} AS MATERIALIZED (
+  SELECT *, CASE WHEN {score} <= s0 THEN p0 WHEN {score} >= s9 THEN p9
+    ELSE least(greatest(pl + ({score} - sl) / (sh - sl + 1e-9) * (ph - pl), 0), 1) END AS prob FROM (
+    SELECT s.*, lo.score AS sl, lo.prob AS pl, hi.score AS sh, hi.prob AS ph, e.* FROM {src} s
+    LEFT JOIN (SELECT v, max(l.seq) AS ls FROM (SELECT DISTINCT {score} AS v FROM {src}) JOIN bps l ON l.score < v GROUP BY v) x ON x.v = s.{score}
+    LEFT JOIN (SELECT v, min(h.seq) AS hs FROM (SELECT DISTINCT {score} AS v FROM {src}) JOIN bps h ON h.score >= v GROUP BY v) z ON z.v = s.{score}
+    LEFT JOIN bps lo ON lo.seq = x.ls LEFT JOIN bps hi ON hi.seq = z.hs
+    CROSS JOIN (SELECT arg_min(score, seq) AS s0, arg_min(prob, seq) AS p0, arg_max(score, seq) AS s9, arg_max(prob, seq) AS p9 FROM bps) e))"""

@@ -161,26 +161,34 @@ def head_filter(
     if not wanted:
         return F.lit(False)
     if not keys:
-        n = wanted[None](df.count())
-        return F.col(tie).isin([r[0] for r in df.select(tie).orderBy(tie).limit(n).collect()])
+        return _first_names(df, wanted, group, tie)
     ranks = {g: (lambda n, f=f: [min(max(f(n), 0), n)]) for g, f in wanted.items()}
-    cuts = order_cuts(df, keys[0], ranks if group is not None else ranks[None], group)
+    found = order_cuts(df, keys[0], ranks if group is not None else ranks[None], group)
+    cuts = {g: next(iter(c.items())) for g, c in found.items() if c}
+    # Groups whose cut falls inside a crowd of equal keys go on with the next key, together.
+    crowded = {g: (cut.value, rank - cut.below) for g, (rank, cut) in cuts.items() if rank - cut.below < cut.equal}
+    inner = F.lit(False)
+    if crowded:
+        tied = reduce(lambda a, b: a | b, [_in_group(group, g) & (keys[0] == F.lit(v)) for g, (v, _) in crowded.items()])
+        inner = head_filter(df.where(tied), keys[1:], {g: (lambda n, k=k: k) for g, (_, k) in crowded.items()}, group, tie)
     parts = []
-    for g in wanted:
-        if not cuts.get(g):
-            continue
-        (rank, cut), = cuts[g].items()
-        here = _in_group(group, g)
-        need = rank - cut.below
-        if need == cut.equal:
-            parts.append(here & (keys[0] <= F.lit(cut.value)))
-            continue
-        tied = here & (keys[0] == F.lit(cut.value))
-        inner = head_filter(df.where(tied), keys[1:], lambda n, need=need: need, tie=tie)
-        parts.append(here & ((keys[0] < F.lit(cut.value)) | ((keys[0] == F.lit(cut.value)) & inner)))
+    for g, (_, cut) in cuts.items():
+        at = F.lit(cut.value)
+        kept = (keys[0] < at) | ((keys[0] == at) & inner) if g in crowded else keys[0] <= at
+        parts.append(_in_group(group, g) & kept)
     return reduce(lambda a, b: a | b, parts, F.lit(False))
 
 
+def _first_names(df: DataFrame, wanted: dict, group: Column | None, tie: str) -> Column:
+    """Rows equal on every key, hash included: a handful of hash collisions at most."""
+    parts = []
+    for g, count in wanted.items():
+        rows = df.where(_in_group(group, g))
+        names = [r[0] for r in rows.select(tie).orderBy(tie).limit(count(rows.count())).collect()]
+        parts.append(_in_group(group, g) & F.col(tie).isin(names))
+    return reduce(lambda a, b: a | b, parts)
+
+
 def boundaries_filter(
     df: DataFrame,
     keys: list[Column],

@@ -167,6 +167,11 @@ class Adaptive:
         )
 
 
+def not_sampled(df: DataFrame, sample: DataFrame) -> DataFrame:
+    """Rows of ``df`` that the sample lacks."""
+    return df.join(sample.select("row_id"), "row_id", "left_anti")
+
+
 def apply_floor(df: DataFrame, sample: DataFrame, quota: SegmentQuota, seed: int, round_: int, phase: int) -> DataFrame:
     """Top up every segment value that has fewer than ``min_per_segment`` drawn rows.
 
@@ -182,7 +187,7 @@ def apply_floor(df: DataFrame, sample: DataFrame, quota: SegmentQuota, seed: int
         .select(seg, (F.lit(quota.min_per_segment) - F.coalesce("_have", F.lit(0))).alias("_need"))
         .where(F.col("_need") > 0)
     )
-    pool = df.join(short, seg).join(sample.select("row_id"), "row_id", "left_anti")
+    pool = not_sampled(df.join(short, seg), sample)
     sized = pool.groupBy(seg).agg(F.count("*").alias("_pool"))
     tag = f"floor-{seg}"
     order = [row_hash(tag, seed, round_), F.col("row_id")]

@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from rareboost.plans import (  # noqa: F401
-    catalog_features, catalog_metrics,
+    catalog_features, catalog_metrics, catalog_objectives,
 )
 from rareboost.plans.registry import ORACLES, QUERIES
 

@@ -16,6 +16,7 @@ from rareboost.functions.hashing import row_hash
 from rareboost.functions.losses import EPS, log_loss, positive
 from rareboost.functions.ranking import global_rank, running_sums
 from rareboost.functions.selection import head_filter
+from rareboost.session import stage
 
 # Metric names, and whether a higher value is better.
 HIGHER_IS_BETTER = {
@@ -34,21 +35,19 @@ def score_counts(df: DataFrame, group: list[str], p: str = "p", label: str = "y"
     return df.groupBy(*group, F.col(p).alias("p")).agg(F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg"))
 
 
-def _cumulated(df: DataFrame, group: list[str], p: str, label: str) -> DataFrame:
-    counts = score_counts(df, group, p, label)
-    return running_sums(counts, [F.col("p").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, group)
-
-
 def ranking_metrics(df: DataFrame, group: list[str], p: str = "p", label: str = "y", fpr: float = 0.01) -> DataFrame:
     """AUC (ties count half), average precision (step sum) and recall at a false-positive rate.
 
     A group without both classes has NULL metrics.
     """
-    run = _cumulated(df, group, p, label)
-    # One row per group.
+    return _ranking(score_counts(df, group, p, label), group, fpr)
+
+
+def _ranking(counts: DataFrame, group: list[str], fpr: float = 0.01) -> DataFrame:
+    run = running_sums(counts, [F.col("p").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, group)
+    # One row per group; without groups a single row.
     size = run.groupBy(*group).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    # The size table is joined by group; without groups it is a single row.
-    both = run.join(size, group) if group else run.join(size)
+    both = run.join(size, group) if group else run.join(F.broadcast(size))
     pos, neg, tp, fp = (F.col(c).cast("double") for c in ("pos", "neg", "tp", "fp"))
     P, N = F.nullif(F.col("n_pos"), F.lit(0)), F.nullif(F.col("n_neg"), F.lit(0))
     within = F.when(fp / N <= fpr, tp / P)
@@ -74,10 +73,15 @@ def equal_width_edges(n_bins: int) -> list[float]:
 
 def calibration_error(df: DataFrame, group: list[str], p: str = "p", label: str = "y", n_bins: int = 10) -> DataFrame:
     """Expected calibration error over ``[lo, hi)`` bins; a score of 1 lies in none but counts as a row."""
+    return _calibration_gap(score_counts(df, group, p, label), group, n_bins)
+
+
+def _calibration_gap(counts: DataFrame, group: list[str], n_bins: int = 10) -> DataFrame:
     inner = equal_width_edges(n_bins)[1:-1]
-    bin_ = reduce(lambda a, b: a + b, [F.when(F.col(p) >= e, 1).otherwise(0) for e in inner], F.lit(0))
-    bins = df.groupBy(*group, F.when((F.col(p) >= 0) & (F.col(p) < 1), bin_).alias("bin")).agg(
-        F.sum(F.col(label).cast("double")).alias("sy"), F.sum(p).alias("sp"), F.count("*").alias("n")
+    bin_ = reduce(lambda a, b: a + b, [F.when(F.col("p") >= e, 1).otherwise(0) for e in inner], F.lit(0))
+    n = F.col("pos") + F.col("neg")
+    bins = counts.groupBy(*group, F.when((F.col("p") >= 0) & (F.col("p") < 1), bin_).alias("bin")).agg(
+        F.sum(F.col("pos").cast("double")).alias("sy"), F.sum(F.col("p") * n).alias("sp"), F.sum(n).alias("n")
     )
     gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("sy") - F.col("sp")))
     return bins.groupBy(*group).agg((F.coalesce(F.sum(gap), F.lit(0.0)) / F.sum("n")).alias("ece"))
@@ -99,11 +103,15 @@ def precision_at_top(df: DataFrame, group: list[str], share: float = 0.05, p: st
 
 def evaluate(df: DataFrame, group: list[str], p: str = "p", label: str = "y") -> DataFrame:
     """Seven metrics per group of scores clipped to [1e-7, 1 - 1e-7]."""
-    data = df.withColumn(p, clipped(F.col(p)))
-    out = ranking_metrics(data, group, p, label)
-    for part in (mean_losses(data, group, p, label), calibration_error(data, group, p, label), precision_at_top(data, group, p=p, label=label)):
-        out = out.join(part, group, "left")
-    return out.select(*group, *METRICS)
+    counts = stage(score_counts(df.withColumn(p, clipped(F.col(p))), group, p, label))
+    q, pos, neg = F.col("p"), F.col("pos"), F.col("neg")
+    losses = counts.groupBy(*group).agg(
+        (F.sum(-pos * F.ln(q) - neg * F.ln(1.0 - q)) / F.sum(pos + neg)).alias("logloss"),
+        (F.sum(pos * (1.0 - q) * (1.0 - q) + neg * q * q) / F.sum(pos + neg)).alias("brier"),
+    )
+    # Every part has one row per group. Clipping does not change the order of scores.
+    parts = [losses, _calibration_gap(counts, group), precision_at_top(df, group, p=p, label=label)]
+    return reduce(lambda a, b: a.join(b, group, "left"), parts, _ranking(counts, group)).select(*group, *METRICS)
 
 
 def over_seeds(records: DataFrame, model: str = "model") -> DataFrame:

@@ -150,9 +150,9 @@ def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drawn(sampling.Adaptive(0.2, 0.1, 0.5).sample(_rows(spark, sf_dir), 0))
 
 
-@query("a4_boundary_bonus", f"WITH {GRADIENTS_SQL}, {adaptive_sql(0.1, 0.3)} {_OUT} drawn")
+@query("a4_boundary_bonus", f"WITH {GRADIENTS_SQL}, {adaptive_sql(0.1, 0.3, keep=0.02)} {_OUT} drawn")
 def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drawn(sampling.Adaptive(0.2, 0.1, 0.5, 0.3).sample(_rows(spark, sf_dir), 0))
+    return _drawn(sampling.Adaptive(0.02, 0.1, 0.5, 0.3).sample(_rows(spark, sf_dir), 0))
 
 
 def floor_sql(src: str, out: str, seg: str, minimum: int, phase: int) -> str:
@@ -187,7 +187,7 @@ def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drawn(sampling.Adaptive(0.2, 0.02, 0.5, quotas=(quota,)).sample(rows, 0))
 
 
-@query("a6_segment_quotas", f"""WITH {GRADIENTS_SQL}, {adaptive_sql(0.02, 0.3)}, {floor_sql('drawn', 'q1', 'seg_brand', _FLOOR, 5)},
+@query("a6_segment_quotas", f"""WITH {GRADIENTS_SQL}, {adaptive_sql(0.02, 0.3, keep=0.02)}, {floor_sql('drawn', 'q1', 'seg_brand', _FLOOR, 5)},
 {cap_sql('q1', 'q2', 'seg_brand', 0.04)}, {cap_sql('q2', 'q3', 'seg_priority', 0.2)} {_OUT} q3""")
 def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
@@ -195,7 +195,7 @@ def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
         sampling.SegmentQuota("seg_brand", _quota(rows), 0.04), sampling.SegmentQuota("seg_priority", 0, 0.2),
         sampling.SegmentQuota("absent", 10, 0.1),
     )
-    return _drawn(sampling.Adaptive(0.2, 0.02, 0.5, 0.3, quotas=quotas).sample(rows, 0))
+    return _drawn(sampling.Adaptive(0.02, 0.02, 0.5, 0.3, quotas=quotas).sample(rows, 0))
 
 
 @query("a7_without_replacement", f"""WITH {GRADIENTS_SQL} SELECT row_id FROM gradients

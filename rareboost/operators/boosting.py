@@ -18,7 +18,7 @@ from rareboost.operators.histogram import GainSplitter, Splitter
 from rareboost.operators.probability import collect_breakpoints, isotonic_breakpoints, platt_fit
 from rareboost.operators.sampling import Adaptive, Sampler, default_sampler
 from rareboost.operators.scoring import transform
-from rareboost.operators.trees import GrowthLimits, Tree, grow, route_codes
+from rareboost.operators.trees import GrowthLimits, Tree, grow, literal_array, route_codes
 from rareboost.session import Scratch, stage, unstage
 from rareboost.sources.models import Model
 from rareboost.sources.tables import labelled_table
@@ -172,12 +172,12 @@ def _advance(state: DataFrame, tree: Tree, config: Config, fold_values: dict[tup
     """Add the tree to every row's prediction (and out-of-fold prediction)."""
     out = route_codes(state, tree)
     lr = F.lit(config.learning_rate)
-    step = F.get(F.array(*[F.lit(float(v)) for v in tree.leaf_values]), F.col("leaf"))
+    step = F.get(literal_array([float(v) for v in tree.leaf_values]), F.col("leaf"))
     changed = {"pred": F.col("pred") + lr * step}
     if fold_values is not None:
         k = config.k_folds
         flat = [fold_values.get((leaf, f), tree.leaf_values[leaf]) for leaf in range(tree.n_leaves) for f in range(k)]
-        own = F.get(F.array(*[F.lit(float(v)) for v in flat]), F.col("leaf") * k + F.col("fold"))
+        own = F.get(literal_array([float(v) for v in flat]), F.col("leaf") * k + F.col("fold"))
         changed["oof"] = F.col("oof") + lr * own
     return out.select(*[changed.get(c, F.col(c)).alias(c) for c in state.columns])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rareboost.functions.losses import positive
 from rareboost.operators.binning import MAX_BINS, feature_codes
@@ -60,20 +60,6 @@ def complement(parent: DataFrame, child: DataFrame) -> DataFrame:
     )
 
 
-def newton_gain(gl: Column, hl: Column, gr: Column, hr: Column, lam: float) -> Column:
-    def score(g: Column, h: Column) -> Column:
-        return g * g / (h + lam)
-
-    return score(gl, hl) + score(gr, hr) - score(gl + gr, hl + hr)
-
-
-def purity_delta(pos_l: Column, n_l: Column, pos_r: Column, n_r: Column) -> Column:
-    def rate(p: Column, n: Column) -> Column:
-        return F.when(n > 0, p / n).otherwise(F.lit(0.0))
-
-    return F.abs(rate(pos_l, n_l) - rate(pos_r, n_r))
-
-
 class Splitter(Protocol):
     """Turns the histogram cells of a level into one best split per node."""
 
@@ -86,24 +72,25 @@ def candidates(cells: DataFrame, lam: float, min_child_weight: float) -> DataFra
     The window holds at most 256 bins, never rows of the table. Empty bins have
     no cell; they could only repeat the cut before them, which wins the tie.
     """
-    by_feature = Window.partitionBy("node", "feature")
-    left = by_feature.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    w = cells.select(
-        "node", "feature", "bin",
-        F.sum("sum_g").over(left).alias("gl"), F.sum("sum_h").over(left).alias("hl"),
-        F.sum("cnt").over(left).alias("nl"), F.sum("cnt_pos").over(left).alias("pl"),
-        F.sum("sum_g").over(by_feature).alias("gt"), F.sum("sum_h").over(by_feature).alias("ht"),
-        F.sum("cnt").over(by_feature).alias("nt"), F.sum("cnt_pos").over(by_feature).alias("pt"),
-    )
-    w = w.select(
-        "*", (F.col("gt") - F.col("gl")).alias("gr"), (F.col("ht") - F.col("hl")).alias("hr"),
-        (F.col("nt") - F.col("nl")).alias("nr"), (F.col("pt") - F.col("pl")).alias("pr"),
-    ).where((F.col("hl") >= min_child_weight) & (F.col("hr") >= min_child_weight) & (F.col("nl") > 0) & (F.col("nr") > 0))
-    c = F.col
-    return w.select(
-        "node", "feature", "bin", "gl", "hl", "nl", "pl", "gr", "hr", "nr", "pr",
-        newton_gain(c("gl"), c("hl"), c("gr"), c("hr"), lam).alias("gain"),
-        purity_delta(c("pl"), c("nl"), c("pr"), c("nr")).alias("purity"),
+    # One SQL text is planned once per level; a chain of small projections is analysed step by step.
+    # Partitioning by node serves the windows and the choice per node with one small shuffle.
+    return cells.sparkSession.sql(
+        """
+        SELECT node, feature, bin, gl, hl, nl, pl, gr, hr, nr, pr,
+          gl * gl / (hl + :lam) + gr * gr / (hr + :lam) - (gl + gr) * (gl + gr) / (hl + hr + :lam) AS gain,
+          abs(CASE WHEN nl > 0 THEN pl / nl ELSE 0D END - CASE WHEN nr > 0 THEN pr / nr ELSE 0D END) AS purity
+        FROM (
+          SELECT *, gt - gl AS gr, ht - hl AS hr, nt - nl AS nr, pt - pl AS pr FROM (
+            SELECT node, feature, bin,
+              sum(sum_g) OVER upto AS gl, sum(sum_h) OVER upto AS hl, sum(cnt) OVER upto AS nl, sum(cnt_pos) OVER upto AS pl,
+              sum(sum_g) OVER all_bins AS gt, sum(sum_h) OVER all_bins AS ht, sum(cnt) OVER all_bins AS nt, sum(cnt_pos) OVER all_bins AS pt
+            FROM {cells}
+            WINDOW all_bins AS (PARTITION BY node, feature),
+              upto AS (PARTITION BY node, feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))
+        WHERE hl >= :mcw AND hr >= :mcw AND nl > 0 AND nr > 0
+        """,
+        args={"lam": float(lam), "mcw": float(min_child_weight)},
+        cells=cells.repartition("node"),
     )
 
 
@@ -124,10 +111,18 @@ class GainSplitter:
         cand = candidates(cells, lam, min_child_weight)
         if self.enforce_min_positives:
             cand = cand.where((F.col("pl") >= self.min_positives) & (F.col("pr") >= self.min_positives))
-        cand = cand.withColumn("score", F.col("gain") + self.purity_weight * F.col("purity") if self.purity_weight else F.col("gain"))
-        order = F.struct(F.round("score", 9).alias("s"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"))
-        record = F.struct("feature", "bin", "gain", "purity", "score", "gl", "hl", "nl", "pl", "gr", "hr", "nr", "pr")
-        return cand.where(F.col("score") > 0).groupBy("node").agg(F.max_by(record, order).alias("r")).select("node", "r.*")
+        return cand.sparkSession.sql(
+            """
+            SELECT node, r.* FROM (
+              SELECT node, max_by(
+                  struct(feature, bin, gain, purity, score, gl, hl, nl, pl, gr, hr, nr, pr),
+                  struct(round(score, 9) AS s, -feature AS f, -bin AS b)) AS r
+              FROM (SELECT *, gain + :weight * purity AS score FROM {cand})
+              WHERE score > 0 GROUP BY node)
+            """,
+            args={"weight": float(self.purity_weight)},
+            cand=cand,
+        )
 
 
 def weighted_sums(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,6 +11,10 @@ from rareboost.operators import histogram
 from rareboost.operators.binning import MAX_BINS, Binner
 
 
+# Share of rows in open nodes above which rows of finished nodes stay in the pass.
+MOSTLY_OPEN = 0.8
+
+
 @dataclass
 class Node:
     """Internal node (``feature >= 0``) or leaf (``leaf >= 0``); children are neighbours."""
@@ -44,32 +49,41 @@ class Tree:
 def route_codes(df: DataFrame, tree: Tree, name: str = "leaf", values: list | None = None) -> DataFrame:
     """Follow the tree on the ``codes`` array and add the reached leaf (or ``values[leaf]``).
 
-    One narrow step per level: node arrays are literals, so the generated code is
-    small for any number of nodes and nothing is shuffled or sent to Python.
+    A narrow projection of constant size for any tree: the nodes are two array
+    literals, and nothing is shuffled or sent to Python.
     """
-    out = _walk(df, tree.nodes, tree.depth)
-    at_node = [None if n.leaf < 0 else (n.leaf if values is None else values[n.leaf]) for n in tree.nodes]
-    kind = "int" if values is None else "double"
-    picked = F.lit(at_node[0]) if len(at_node) == 1 else _lookup(at_node, F.col("_at"), kind)
-    return out.withColumn(name, picked.cast(kind)).drop("_at")
+    at_node = [-1 if n.leaf < 0 else n.leaf for n in tree.nodes]
+    if values is not None:
+        at_node = [float("nan") if leaf < 0 else float(values[leaf]) for leaf in at_node]
+    return df.withColumn(name, F.get(literal_array(at_node), node_position(tree.nodes, tree.depth)))
+
 
+def literal_array(values: list[int] | list[float]) -> Column:
+    """Array constant; parsed from one text, which is much faster than one literal per entry."""
+    if values and isinstance(values[0], float):
+        return F.expr(f"array({', '.join(f'double({v!r})' if math.isfinite(v) else 'double(null)' for v in values)})")
+    return F.expr(f"array({', '.join(str(v) for v in values)})")
 
-def _lookup(values: list, index: Column, kind: str) -> Column:
-    return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), index)
 
+def node_position(nodes: list[Node], depth: int) -> Column:
+    """Node that a row has reached after ``depth`` steps from the root.
+
+    A fold over the levels keeps the expression small: chained projections would
+    be merged by the optimizer and grow exponentially with the depth, and nested
+    CASE branches outgrow the size of methods that get compiled.
+    """
+    if depth == 0 or len(nodes) == 1:
+        return F.lit(0)
+    cuts = literal_array([n.feature * MAX_BINS + n.split_bin if n.feature >= 0 else -1 for n in nodes])
+    lefts = literal_array([n.left for n in nodes])
+
+    def step(at: Column, _: Column) -> Column:
+        cut = F.get(cuts, at)
+        beyond = (F.get(F.col("codes"), F.shiftright(cut, 8)) > cut).cast("int")
+        return F.when(cut < 0, at).otherwise(F.get(lefts, at) + beyond)
 
-def _walk(df: DataFrame, nodes: list[Node], depth: int) -> DataFrame:
-    out = df.withColumn("_at", F.lit(0))
-    if depth == 0:
-        return out
-    split = [n.feature * MAX_BINS + n.split_bin if n.feature >= 0 else -1 for n in nodes]
-    left = [n.left for n in nodes]
-    for _ in range(depth):
-        out = out.withColumn("_cut", _lookup(split, F.col("_at"), "int"))
-        code = F.get(F.col("codes"), F.shiftright("_cut", 8))
-        child = _lookup(left, F.col("_at"), "int") + F.when(code > F.col("_cut"), 1).otherwise(0)
-        out = out.withColumn("_at", F.when(F.col("_cut") < 0, F.col("_at")).otherwise(child))
-    return out.drop("_cut")
+    levels = F.expr(f"sequence(1, {depth})")
+    return F.aggregate(levels, F.lit(0), step)
 
 
 @dataclass(frozen=True)
@@ -105,10 +119,16 @@ def grow(
         ]
         if not open_:
             break
-        at = _walk(rows, nodes, depth).withColumnRenamed("_at", "node")
-        if len(open_) < 2**depth:
-            at = at.where(F.col("node").isin(open_))
+        at = rows.withColumn("node", node_position(nodes, depth))
+        is_open = F.coalesce(F.get(literal_array([int(i in open_) for i in range(len(nodes))]), F.col("node")) == 1, F.lit(False))
+        drawn = sum(stats[i][2] for i in open_)
+        # Finished rows are dropped before the explode only when they are many: the
+        # filter routes every row a second time. Otherwise their cells are dropped.
+        if drawn < MOSTLY_OPEN * root["cnt"]:
+            at = at.where(is_open)
         cells = histogram.build(at, len(binner.features), only)
+        if drawn < root["cnt"]:
+            cells = cells.where(is_open)
         found = splitter.best(cells, limits.lam, limits.min_child_weight).collect()
         grown = []
         for s in sorted(found, key=lambda r: r["node"]):

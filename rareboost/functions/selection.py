@@ -45,10 +45,8 @@ def _in_group(group: Column | None, value: Any) -> Column:
 
 
 def _bracket_id(brackets: list[_Bracket], group: Column | None) -> Column:
-    expr = F
-    for i, b in enumerate(brackets):
-        expr = expr.when(_in_group(group, b.group) & F.col("_key").between(F.lit(b.lo), F.lit(b.hi)), F.lit(i))
-    return expr
+    inside = [_in_group(group, b.group) & F.col("_key").between(F.lit(b.lo), F.lit(b.hi)) for b in brackets]
+    return F.coalesce(*[F.when(here, i) for i, here in enumerate(inside)])
 
 
 def order_cuts(
@@ -61,11 +59,14 @@ def order_cuts(
 
     ``ranks`` maps a group value to a function of the group's row count that
     returns the wanted ranks; without ``group`` pass the function itself and read
-    the result under ``None``. NULL and NaN keys must be removed beforehand.
+    the result under ``None``. Rows with a NULL or NaN key have no rank.
     """
     wanted = ranks if isinstance(ranks, dict) else {None: ranks}
     group_col = F.lit(None).cast("string") if group is None else group
     keyed = df.select(key.alias("_key"), group_col.alias("_grp"))
+    keyed = keyed.where("_key is not null")
+    if keyed.schema["_key"].dataType.typeName() in ("double", "float"):
+        keyed = keyed.where(~F.isnan("_key"))
     grp = None if group is None else F.col("_grp")
     if group is not None:
         keyed = keyed.where(reduce(lambda a, b: a | b, [_in_group(grp, g) for g in wanted]))
@@ -118,18 +119,18 @@ def _finish(keyed: DataFrame, batch: list[_Bracket], grp: Column | None, found:
 
 def _narrow(keyed: DataFrame, batch: list[_Bracket], grp: Column | None) -> list[_Bracket]:
     slots = max(2, CELLS // len(batch))
-    pos = F
+    parts = []
     for i, b in enumerate(batch):
         if math.isinf(float(b.hi) - float(b.lo)):
             width = float(b.hi) / 2 - float(b.lo) / 2
             part = (F.col("_key") / 2 - F.lit(float(b.lo) / 2)) / F.lit(width)
         else:
             part = (F.col("_key") - F.lit(b.lo)).cast("double") / F.lit(float(b.hi - b.lo))
-        pos = pos.when(F.col("_b") == i, F.least(F.floor(part * slots).cast("int"), F.lit(slots - 1)))
+        parts.append(F.when(F.col("_b") == i, F.least(F.floor(part * slots).cast("int"), F.lit(slots - 1))))
     rows = (
         keyed.withColumn("_b", _bracket_id(batch, grp))
         .where("_b is not null")
-        .groupBy("_b", pos.alias("_s"))
+        .groupBy("_b", F.coalesce(*parts).alias("_s"))
         .agg(F.count("*").alias("n"), F.min("_key").alias("lo"), F.max("_key").alias("hi"))
         .collect()
     )

@@ -16,7 +16,7 @@ from rareboost.operators.binning import column_subset, fit_binner
 from rareboost.operators.folds import assign_folds
 from rareboost.operators.histogram import GainSplitter, Splitter
 from rareboost.operators.probability import collect_breakpoints, isotonic_breakpoints, platt_fit
-from rareboost.operators.sampling import Adaptive, Sampler, default_sampler
+from rareboost.operators.sampling import Adaptive, Sampler, default_sampler, sampler_by_name
 from rareboost.operators.scoring import transform
 from rareboost.operators.trees import GrowthLimits, Tree, grow, literal_array, route_codes
 from rareboost.session import Scratch, stage, unstage
@@ -79,6 +79,21 @@ def focal_calibrated(gamma: float, alpha: float) -> Config:
     )
 
 
+def command_line_config(
+    loss: str = "bce", n_rounds: int = 100, learning_rate: float = 0.1, max_depth: int = 6, subsample: float = 0.8,
+    sampler: str = "uniform", gamma: float = 2.0, alpha: float = 0.25, calibrate: bool = False, platt: bool = False,
+    raw_isotonic: bool = False, early_stopping_rounds: int = 20, col_subsample: float = 0.8, lam: float = 1.0,
+    min_samples_leaf: int = 20, min_child_weight: float = 1.0, seed: int = 42,
+) -> Config:
+    """Configuration with the command line's defaults; 0 early stopping rounds means none."""
+    return Config(
+        objective=Focal(gamma, alpha) if loss == "focal" else CrossEntropy(), n_rounds=n_rounds, learning_rate=learning_rate,
+        max_depth=max_depth, min_child_weight=min_child_weight, min_samples_leaf=min_samples_leaf, lam=lam,
+        col_subsample=col_subsample, sampler=sampler_by_name(sampler, subsample, seed), calibrate=calibrate, platt_scale=platt,
+        raw_isotonic=raw_isotonic, early_stopping_rounds=early_stopping_rounds or None, fold_seed=seed, seed=seed,
+    )
+
+
 def first_score(prior: float) -> float:
     return math.log(prior / (1.0 - prior)) if 0.0 < prior < 1.0 else 0.0
 

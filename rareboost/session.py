@@ -26,6 +26,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def _app_folder(spark: SparkSession) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), f"rareboost-{spark.sparkContext.applicationId}")
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -33,7 +37,7 @@ def stage(df: DataFrame) -> DataFrame:
     the planner the measured size of the table.
     """
     spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), f"rareboost-{spark.sparkContext.applicationId}", uuid.uuid4().hex)
+    path = os.path.join(_app_folder(spark), uuid.uuid4().hex)
     schema = df.schema
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
@@ -45,9 +49,17 @@ def unstage(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     path = getattr(df, "_staged_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def drop_staged_tables(spark: SparkSession) -> None:
+    """Delete every table this application has staged; call it when no result is needed any more."""
+    _delete(spark, _app_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 class Scratch:

@@ -44,6 +44,19 @@ def _in_group(group: Column | None, value: Any) -> Column:
     return F.lit(True) if group is None else group.eqNullSafe(F.lit(value))
 
 
+def _any_group(group: Column, values: list) -> Column:
+    present = [v for v in values if v is not None]
+    here = group.isin(present) if present else F.lit(False)
+    return here | group.isNull() if None in values else F.coalesce(here, F.lit(False))
+
+
+def _per_group(group: Column | None, values: dict[Any, Any]) -> Column:
+    """The value of a row's group; NULL for a group that is not listed."""
+    if group is None:
+        return F.lit(values[None])
+    return F.coalesce(*[F.when(_in_group(group, g), F.lit(v)) for g, v in values.items()])
+
+
 def _bracket_id(brackets: list[_Bracket], group: Column | None) -> Column:
     inside = [_in_group(group, b.group) & F.col("_key").between(F.lit(b.lo), F.lit(b.hi)) for b in brackets]
     return F.coalesce(*[F.when(here, i) for i, here in enumerate(inside)])
@@ -64,14 +77,15 @@ def order_cuts(
     wanted = ranks if isinstance(ranks, dict) else {None: ranks}
     group_col = F.lit(None).cast("string") if group is None else group
     keyed = df.select(key.alias("_key"), group_col.alias("_grp"))
-    keyed = keyed.where("_key is not null")
-    if keyed.schema["_key"].dataType.typeName() in ("double", "float"):
-        keyed = keyed.where(~F.isnan("_key"))
     grp = None if group is None else F.col("_grp")
-    if group is not None:
-        keyed = keyed.where(reduce(lambda a, b: a | b, [_in_group(grp, g) for g in wanted]))
     with Scratch() as scratch:
-        return _locate(scratch.keep(keyed), wanted, grp)
+        # Cached before any filter, so that the key is computed once and not once per condition.
+        rows = scratch.keep(keyed).where("_key is not null")
+        if keyed.schema["_key"].dataType.typeName() in ("double", "float"):
+            rows = rows.where(~F.isnan("_key"))
+        if group is not None:
+            rows = rows.where(_any_group(grp, list(wanted)))
+        return _locate(rows, wanted, grp)
 
 
 def _locate(keyed: DataFrame, wanted: dict, grp: Column | None) -> dict[Any, dict[int, Cut]]:
@@ -168,16 +182,17 @@ def head_filter(
     cuts = {g: next(iter(c.items())) for g, c in found.items() if c}
     # Groups whose cut falls inside a crowd of equal keys go on with the next key, together.
     crowded = {g: (cut.value, rank - cut.below) for g, (rank, cut) in cuts.items() if rank - cut.below < cut.equal}
-    inner = F.lit(False)
-    if crowded:
-        tied = reduce(lambda a, b: a | b, [_in_group(group, g) & (keys[0] == F.lit(v)) for g, (v, _) in crowded.items()])
-        inner = head_filter(df.where(tied), keys[1:], {g: (lambda n, k=k: k) for g, (_, k) in crowded.items()}, group, tie)
-    parts = []
-    for g, (_, cut) in cuts.items():
-        at = F.lit(cut.value)
-        kept = (keys[0] < at) | ((keys[0] == at) & inner) if g in crowded else keys[0] <= at
-        parts.append(_in_group(group, g) & kept)
-    return reduce(lambda a, b: a | b, parts, F.lit(False))
+    if not cuts:
+        return F.lit(False)
+    # One comparison against the row's own threshold; later keys are read for ties only.
+    edge = _per_group(group, {g: cut.value for g, (_, cut) in cuts.items()})
+    if not crowded:
+        return F.coalesce(keys[0] <= edge, F.lit(False))
+    crowd = _per_group(group, {g: v for g, (v, _) in crowded.items()})
+    quotas = {g: (lambda n, k=k: k) for g, (_, k) in crowded.items()}
+    inner = head_filter(df.where(keys[0] == crowd), keys[1:], quotas, group, tie)
+    settled = F.lit(False) if group is None else ~_any_group(group, list(crowded))
+    return F.coalesce((keys[0] < edge) | ((keys[0] == edge) & (settled | inner)), F.lit(False))
 
 
 def _first_names(df: DataFrame, wanted: dict, group: Column | None, tie: str) -> Column:

@@ -18,7 +18,7 @@ from rareboost.operators.histogram import GainSplitter, Splitter
 from rareboost.operators.probability import collect_breakpoints, isotonic_breakpoints, platt_fit
 from rareboost.operators.sampling import Adaptive, Sampler, default_sampler, sampler_by_name
 from rareboost.operators.scoring import transform
-from rareboost.operators.trees import GrowthLimits, Tree, grow, literal_array, route_codes
+from rareboost.operators.trees import GrowthLimits, Tree, grow, literal_array, route_aggregated
 from rareboost.session import Scratch, stage, unstage
 from rareboost.sources.models import Model
 from rareboost.sources.tables import labelled_table
@@ -170,7 +170,7 @@ def train(df: DataFrame, features: list[str], config: Config, label: str = "y")
 
 def _calibrate(work: DataFrame, tree: Tree, config: Config, prior: float) -> dict[tuple[int, int], float]:
     """Replace the tree's leaf values by out-of-fold ones; returns the (leaf, fold) values."""
-    routed = route_codes(work, tree)
+    routed = route_aggregated(work, tree)
     with Scratch() as scratch:
         values = scratch.keep(calibration.fold_values(calibration.fold_statistics(routed), config.lam, prior))
         for r in calibration.calibrated_leaves(values).collect():
@@ -185,7 +185,7 @@ def _calibrate(work: DataFrame, tree: Tree, config: Config, prior: float) -> dic
 
 def _advance(state: DataFrame, tree: Tree, config: Config, fold_values: dict[tuple[int, int], float] | None) -> DataFrame:
     """Add the tree to every row's prediction (and out-of-fold prediction)."""
-    out = route_codes(state, tree)
+    out = route_aggregated(state, tree)
     lr = F.lit(config.learning_rate)
     step = F.get(literal_array([float(v) for v in tree.leaf_values]), F.col("leaf"))
     changed = {"pred": F.col("pred") + lr * step}

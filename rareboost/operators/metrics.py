@@ -103,6 +103,7 @@ def precision_at_top(df: DataFrame, group: list[str], share: float = 0.05, p: st
 
 def evaluate(df: DataFrame, group: list[str], p: str = "p", label: str = "y") -> DataFrame:
     """Seven metrics per group of scores clipped to [1e-7, 1 - 1e-7]."""
+    df = stage(df.select("row_id", *group, p, label))
     counts = stage(score_counts(df.withColumn(p, clipped(F.col(p))), group, p, label))
     q, pos, neg = F.col("p"), F.col("pos"), F.col("neg")
     losses = counts.groupBy(*group).agg(

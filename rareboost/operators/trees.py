@@ -12,7 +12,7 @@ from rareboost.operators.binning import MAX_BINS, Binner
 
 
 # Share of rows in open nodes above which rows of finished nodes stay in the pass.
-MOSTLY_OPEN = 0.8
+MOSTLY_OPEN = 0.5
 
 
 @dataclass
@@ -52,10 +52,17 @@ def route_codes(df: DataFrame, tree: Tree, name: str = "leaf", values: list | No
     A narrow projection of constant size for any tree: the nodes are two array
     literals, and nothing is shuffled or sent to Python.
     """
-    at_node = [-1 if n.leaf < 0 else n.leaf for n in tree.nodes]
-    if values is not None:
-        at_node = [float("nan") if leaf < 0 else float(values[leaf]) for leaf in at_node]
-    return df.withColumn(name, F.get(literal_array(at_node), node_position(tree.nodes, tree.depth)))
+    return df.withColumn(name, F.get(_leaf_lookup(tree, values), node_position(tree.nodes, tree.depth)))
+
+
+def route_aggregated(df: DataFrame, tree: Tree) -> DataFrame:
+    """``route_codes`` for results that are cached or aggregated before anything filters on the leaf."""
+    return walk(df, tree.nodes, tree.depth, "_at").withColumn("leaf", F.get(_leaf_lookup(tree), F.col("_at"))).drop("_at")
+
+
+def _leaf_lookup(tree: Tree, values: list | None = None) -> Column:
+    leaves = [n.leaf for n in tree.nodes]
+    return literal_array(leaves if values is None else [float("nan") if i < 0 else float(values[i]) for i in leaves])
 
 
 def literal_array(values: list[int] | list[float]) -> Column:
@@ -65,25 +72,42 @@ def literal_array(values: list[int] | list[float]) -> Column:
     return F.expr(f"array({', '.join(str(v) for v in values)})")
 
 
-def node_position(nodes: list[Node], depth: int) -> Column:
-    """Node that a row has reached after ``depth`` steps from the root.
-
-    A fold over the levels keeps the expression small: chained projections would
-    be merged by the optimizer and grow exponentially with the depth, and nested
-    CASE branches outgrow the size of methods that get compiled.
-    """
-    if depth == 0 or len(nodes) == 1:
-        return F.lit(0)
+def _step(nodes: list[Node]):
+    """One step down the tree: from a node to its child, or stay in a leaf."""
     cuts = literal_array([n.feature * MAX_BINS + n.split_bin if n.feature >= 0 else -1 for n in nodes])
     lefts = literal_array([n.left for n in nodes])
 
-    def step(at: Column, _: Column) -> Column:
+    def down(at: Column) -> Column:
         cut = F.get(cuts, at)
         beyond = (F.get(F.col("codes"), F.shiftright(cut, 8)) > cut).cast("int")
         return F.when(cut < 0, at).otherwise(F.get(lefts, at) + beyond)
 
-    levels = F.expr(f"sequence(1, {depth})")
-    return F.aggregate(levels, F.lit(0), step)
+    return down
+
+
+def node_position(nodes: list[Node], depth: int) -> Column:
+    """Node that a row has reached after ``depth`` steps from the root, as one expression.
+
+    A fold over the levels: filters on the result may be pushed below it and
+    stay small, which a chain of projections would not.
+    """
+    if depth == 0 or len(nodes) == 1:
+        return F.lit(0)
+    down = _step(nodes)
+    return F.aggregate(F.expr(f"sequence(1, {depth})"), F.lit(0), lambda at, _: down(at))
+
+
+def walk(df: DataFrame, nodes: list[Node], depth: int, name: str) -> DataFrame:
+    """The same as one projection per level, all inside generated code and about twice as fast.
+
+    Nothing may filter on the column before it is cached or aggregated: a filter
+    pushed through the projections would repeat them exponentially.
+    """
+    out = df.withColumn(name, F.lit(0))
+    down = _step(nodes)
+    for _ in range(depth if len(nodes) > 1 else 0):
+        out = out.withColumn(name, down(F.col(name)))
+    return out
 
 
 @dataclass(frozen=True)
@@ -119,17 +143,15 @@ def grow(
         ]
         if not open_:
             break
-        at = rows.withColumn("node", node_position(nodes, depth))
-        is_open = F.coalesce(F.get(literal_array([int(i in open_) for i in range(len(nodes))]), F.col("node")) == 1, F.lit(False))
         drawn = sum(stats[i][2] for i in open_)
-        # Finished rows are dropped before the explode only when they are many: the
-        # filter routes every row a second time. Otherwise their cells are dropped.
         if drawn < MOSTLY_OPEN * root["cnt"]:
-            at = at.where(is_open)
+            # Rows of finished nodes are dropped before the explode when they are many.
+            is_open = literal_array([int(i in open_) for i in range(len(nodes))])
+            at = rows.withColumn("node", node_position(nodes, depth)).where(F.get(is_open, F.col("node")) == 1)
+        else:
+            at = walk(rows, nodes, depth, "node")
         cells = histogram.build(at, len(binner.features), only)
-        if drawn < root["cnt"]:
-            cells = cells.where(is_open)
-        found = splitter.best(cells, limits.lam, limits.min_child_weight).collect()
+        found = [s for s in splitter.best(cells, limits.lam, limits.min_child_weight).collect() if s["node"] in open_]
         grown = []
         for s in sorted(found, key=lambda r: r["node"]):
             if s["nl"] < limits.min_samples_leaf or s["nr"] < limits.min_samples_leaf:

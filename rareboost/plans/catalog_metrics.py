@@ -17,8 +17,13 @@ from rareboost.session import stage
 GROUP = ["model", "seed"]
 
 
-def _round(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def _digits(name: str) -> int:
+    """Few enough that sums of two-decimal scores do not end on a rounding tie."""
+    return 4 if name.startswith("ece") or name in ("value", "base_value", "lift_pct") else 5
+
+
+def _round(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, _digits(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 # Curves of every (model, seed): scores in descending order with running counts.
@@ -50,42 +55,42 @@ records AS MATERIALIZED (
 _RAW_ECE = _CURVE.replace("least(greatest(p, 1e-7), 1 - 1e-7) AS p", "p")
 
 
-@query("m1_auc", f"WITH {_CURVE} SELECT model, seed, round(auc, 6) AS auc FROM ranked")
+@query("m1_auc", f"WITH {_CURVE} SELECT model, seed, round(auc, 5) AS auc FROM ranked")
 def m1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(metrics.ranking_metrics(predictions(spark, sf_dir), GROUP).select(*GROUP, "auc"))
 
 
-@query("m2_average_precision", f"WITH {_CURVE} SELECT model, seed, round(prauc, 6) AS prauc FROM ranked")
+@query("m2_average_precision", f"WITH {_CURVE} SELECT model, seed, round(prauc, 5) AS prauc FROM ranked")
 def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(metrics.ranking_metrics(predictions(spark, sf_dir), GROUP).select(*GROUP, "prauc"))
 
 
-@query("m3_log_loss", f"WITH {_CURVE} SELECT model, seed, round(logloss, 6) AS logloss FROM losses")
+@query("m3_log_loss", f"WITH {_CURVE} SELECT model, seed, round(logloss, 5) AS logloss FROM losses")
 def m3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(metrics.mean_losses(predictions(spark, sf_dir), GROUP).select(*GROUP, "logloss"))
 
 
-@query("m4_brier", f"WITH {_CURVE} SELECT model, seed, round(avg((p - y) * (p - y)), 6) AS brier FROM preds GROUP BY model, seed")
+@query("m4_brier", f"WITH {_CURVE} SELECT model, seed, round(avg((p - y) * (p - y)), 5) AS brier FROM preds GROUP BY model, seed")
 def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(metrics.mean_losses(predictions(spark, sf_dir), GROUP).select(*GROUP, "brier"))
 
 
-@query("m5_calibration_error", f"WITH {_RAW_ECE} SELECT model, seed, round(ece, 6) AS ece FROM ece")
+@query("m5_calibration_error", f"WITH {_RAW_ECE} SELECT model, seed, round(ece, 4) AS ece FROM ece")
 def m5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(metrics.calibration_error(predictions(spark, sf_dir), GROUP))
 
 
-@query("m6_recall_at_fpr", f"WITH {_CURVE} SELECT model, seed, round(r1pct, 6) AS r1pct FROM ranked")
+@query("m6_recall_at_fpr", f"WITH {_CURVE} SELECT model, seed, round(r1pct, 5) AS r1pct FROM ranked")
 def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(metrics.ranking_metrics(predictions(spark, sf_dir), GROUP).select(*GROUP, "r1pct"))
 
 
-@query("m7_precision_at_top", f"WITH {_CURVE} SELECT model, seed, round(p5pct, 6) AS p5pct FROM topk")
+@query("m7_precision_at_top", f"WITH {_CURVE} SELECT model, seed, round(p5pct, 5) AS p5pct FROM topk")
 def m7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(metrics.precision_at_top(predictions(spark, sf_dir), GROUP))
 
 
-_SEVEN = ", ".join(f"round({m}, 6) AS {m}" for m in metrics.METRICS)
+_SEVEN = ", ".join(f"round({m}, {_digits(m)}) AS {m}" for m in metrics.METRICS)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,12 +102,12 @@ def m8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(records(spark, sf_dir))
 
 
-@query("m9_resolution", f"WITH {_CURVE} SELECT model, seed, round(stddev_pop(p), 6) AS resolution FROM preds GROUP BY model, seed")
+@query("m9_resolution", f"WITH {_CURVE} SELECT model, seed, round(stddev_pop(p), 5) AS resolution FROM preds GROUP BY model, seed")
 def m9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(metrics.mean_losses(predictions(spark, sf_dir), GROUP).select(*GROUP, "resolution"))
 
 
-_STATS = ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_std" for m in metrics.METRICS)
+_STATS = ", ".join(f"round(avg({m}), {_digits(m)}) AS {m}_mean, round(stddev_pop({m}), {_digits(m)}) AS {m}_std" for m in metrics.METRICS)
 
 
 @query("m10_over_seeds", f"WITH {_CURVE} SELECT model, {_STATS} FROM records GROUP BY model")
@@ -130,8 +135,8 @@ def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
 best AS (SELECT family, arg_max(model, (auc, model)) AS model FROM (
   SELECT *, CASE WHEN model = 'quantity' THEN 'baseline' ELSE 'price' END AS family FROM records WHERE seed = 42) GROUP BY family),
 b AS (SELECT family, l.* FROM best JOIN long l USING (model))
-SELECT p.family, p.model, p.metric, round(p.value, 6) AS value, round(q.value, 6) AS base_value,
-  round((CASE WHEN p.higher THEN 1 ELSE -1 END) * (CASE WHEN q.value = 0 THEN 0 ELSE 100e0 * (p.value - q.value) / q.value END), 6) AS lift_pct
+SELECT p.family, p.model, p.metric, round(p.value, 4) AS value, round(q.value, 4) AS base_value,
+  round((CASE WHEN p.higher THEN 1 ELSE -1 END) * (CASE WHEN q.value = 0 THEN 0 ELSE 100e0 * (p.value - q.value) / q.value END), 4) AS lift_pct
 FROM b p JOIN b q USING (metric) WHERE q.family = 'baseline' AND p.family <> 'baseline'""")
 def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
     family = F.when(F.col("model") == "quantity", "baseline").otherwise("price")
@@ -139,7 +144,7 @@ def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("m13_best_markers", f"""WITH {_LONG}
-SELECT model, metric, round(value, 6) AS value, abs(value - CASE WHEN higher THEN max(value) OVER (PARTITION BY metric)
+SELECT model, metric, round(value, 4) AS value, abs(value - CASE WHEN higher THEN max(value) OVER (PARTITION BY metric)
   ELSE min(value) OVER (PARTITION BY metric) END) < 1e-9 AS is_best FROM long""")
 def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(metrics.best_markers(_seed42(spark, sf_dir)))

@@ -104,10 +104,22 @@ def train(df: DataFrame, features: list[str], config: Config, label: str = "y")
     Each round makes narrow passes over one cached table of bin codes and
     predictions; only histogram cells, leaf statistics and single-row sums are
     shuffled. The table is staged to shared storage every ``checkpoint_every`` rounds, so a
-    lost executor replays at most that many rounds of projections.
+    lost executor replays at most that many rounds of projections. The input is
+    staged first: it is read several times, and its plan may be expensive.
     """
     extra = list(dict.fromkeys([*config.segments, *([config.time] if config.time else [])]))
-    table = labelled_table(df, features, label, keep=extra)
+    table = stage(labelled_table(df, features, label, keep=extra))
+    model = _boost(table, features, config)
+    if config.calibration == "isotonic":
+        scores = stage(held_out_scores(table, features, config))
+        model.isotonic = collect_breakpoints(isotonic_breakpoints(scores))
+        unstage(scores)
+    unstage(table)
+    return model
+
+
+def _boost(table: DataFrame, features: list[str], config: Config) -> Model:
+    """The rounds, on a checked table of ``row_id``, ``y``, features and metadata."""
     binner = fit_binner(table, features, config.n_bins)
     mode = config.calibration
     base = table
@@ -116,7 +128,7 @@ def train(df: DataFrame, features: list[str], config: Config, label: str = "y")
     stats = class_prior(table).collect()[0]
     prior = config.objective.prior if config.objective.prior is not None else stats["prior"]
     start = first_score(prior)
-    kept = [c for c in base.columns if c not in features]
+    kept = [c for c in base.columns if c not in features or c in config.segments]
     state = base.select(*kept, binner.codes().alias("codes"), F.lit(start).alias("pred"), F.lit(start).alias("oof"))
     staged = stage(state if mode == "platt" else state.drop("oof"))
     state = staged.persist(StorageLevel.MEMORY_AND_DISK)
@@ -162,9 +174,6 @@ def train(df: DataFrame, features: list[str], config: Config, label: str = "y")
         model.platt = platt_fit(state.select(F.col("oof").alias("score"), "y"))
     state.unpersist()
     unstage(staged)
-    if mode == "isotonic":
-        scores = stage(held_out_scores(df, features, config, label))
-        model.isotonic = collect_breakpoints(isotonic_breakpoints(scores))
     return model
 
 
@@ -212,7 +221,7 @@ def held_out_scores(df: DataFrame, features: list[str], config: Config, label: s
         plain = replace(
             config, calibrate=False, segments=(), time=None, sampler=sampler, seed=config.seed + k * FOLD_SEED_STRIDE
         )
-        model = train(folded.where(F.col("fold") != k), features, plain)
+        model = _boost(folded.where(F.col("fold") != k), features, plain)
         scored = transform(folded.where(F.col("fold") == k), model, "margin", "score")
         parts.append(scored.select("row_id", "y", "fold", "score"))
     out = parts[0]

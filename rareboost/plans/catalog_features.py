@@ -13,7 +13,7 @@ from rareboost.operators import encoding
 from rareboost.operators.binning import column_subset_cells, cut_points, distinct_values, fit_binner
 from rareboost.operators.folds import shuffled_folds, stratified_folds
 from rareboost.plans.fixtures import (
-    EVENTS_SQL, FEATURES, LINES_SQL, N_BINS, events, hash_sql, lines, read, uniform_sql,
+    EVENTS_SQL, FEATURES, LINES_SQL, N_BINS, events, hash_sql, lines, uniform_sql,
 )
 from rareboost.plans.oracles import bins_sql, folds_sql, stack_sql
 from rareboost.plans.registry import query

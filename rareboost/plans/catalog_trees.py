@@ -15,9 +15,7 @@ from rareboost.operators.scoring import transform
 from rareboost.operators.trees import GrowthLimits, Tree, grow, route_codes
 from rareboost.plans.fixtures import FEATURES, GRADIENTS_SQL, N_BINS, gradients, lines, uniform_sql
 from rareboost.plans.models import DEMO, demo
-from rareboost.plans.oracles import (
-    DEMO_DEPTH, best_sql, bins_sql, boost_sql, candidates_sql, cells_sql, grow_sql,
-)
+from rareboost.plans.oracles import best_sql, bins_sql, boost_sql, candidates_sql, cells_sql, grow_sql
 from rareboost.plans.registry import query
 from rareboost.session import stage
 

@@ -53,7 +53,8 @@ def labelled_table(df: DataFrame, features: list[str], label: str = "y", keep: l
     if check["bad"]:
         raise ValueError(f"{check['bad']} rows without a label")
     return df.select(
-        "row_id", F.col(label).cast("double").alias("y"), *[F.col(f).cast("double").alias(f) for f in features], *(keep or [])
+        "row_id", F.col(label).cast("double").alias("y"), *[F.col(f).cast("double").alias(f) for f in features],
+        *[c for c in keep or [] if c not in features],
     )
 
 

@@ -151,6 +151,25 @@ def test_quotas_and_temporal_folds_end_to_end(table):
     assert model.has_leaf_probabilities
 
 
+def test_unseen_leaves_can_take_the_prior(spark, table):
+    """A leaf whose rows share one fold has no out-of-fold rate: 0, or the prior when asked for."""
+    from rareboost.operators.trees import Node, Tree
+
+    rows = [(i, i % 2, i % 4 if i < 40 else 1, 0.1, 0.2, [0 if i < 40 else 1]) for i in range(50)]
+    work = spark.createDataFrame(rows, "row_id int, y int, fold int, g double, h double, codes array<int>")
+    for null_leaf, want in (("zero", 0.0), ("prior", 0.5)):
+        tree = Tree([Node(0, 0, 0.5, 1), Node(leaf=0), Node(leaf=1)], [0.3, 0.7], [0.0, 0.0], [40, 10])
+        boosting._calibrate(work, tree, replace(PLAIN, calibrate=True, null_leaf=null_leaf), 0.5)
+        assert tree.leaf_probs[1] == want and tree.leaf_values[1] == 0.7 and tree.leaf_probs[0] > 0
+
+
+def test_a_segment_may_also_be_a_feature(table):
+    config = replace(
+        PLAIN, n_rounds=1, max_depth=1, segments=("p_size",), sampler=Adaptive(0.2, 0.1, 0.5, quotas=(SegmentQuota("p_size", 30),))
+    )
+    assert train(table, FEATURES, config).n_trees == 1
+
+
 def test_checkpoints_do_not_change_the_model(table):
     config = replace(PLAIN, n_rounds=3, max_depth=2)
     a = train(table, FEATURES, replace(config, checkpoint_every=1))

@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from rareboost.llm import query_decontamination, query_quality_classifier, query_sharding  # noqa: F401
+from rareboost.llm import query_decontamination, query_neardup, query_quality_classifier, query_sharding  # noqa: F401
 from rareboost.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -30,7 +30,7 @@ def _app_folder(spark: SparkSession) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"rareboost-{spark.sparkContext.applicationId}")
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, keeps column pruning, and gives
@@ -39,7 +39,7 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(_app_folder(spark), uuid.uuid4().hex)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._staged_path = path
     return out

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rareboost.functions.joins import null_safe_join
 from rareboost.session import stage
 
 
@@ -36,7 +37,7 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], gr
     # One row per (group, block): block counts are bounded by the shuffle partitions.
     before = Window.partitionBy(*(group or [F.lit(1)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_block", *group, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off_{n}") for n in sums])
-    joined = out.join(offsets, ["_block", *group])
+    joined = null_safe_join(out, offsets, ["_block", *group])
     return joined.select(
         *[F.col(c) for c in df.columns], *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums]
     )

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rareboost.session import Scratch
 
 CELLS = 4096
+#: More rows of one 56-bit hash than this are no accident.
+COLLISIONS = 1000
 
 
 @dataclass(frozen=True)
@@ -196,11 +198,22 @@ def head_filter(
 
 
 def _first_names(df: DataFrame, wanted: dict, group: Column | None, tie: str) -> Column:
-    """Rows equal on every key, hash included: a handful of hash collisions at most."""
+    """Rows equal on every key, hash included: a handful of hash collisions at most.
+
+    A larger crowd, or a cut between rows of one name, means that names are NULL
+    or repeat; no predicate can tell such rows apart.
+    """
     parts = []
     for g, count in wanted.items():
         rows = df.where(_in_group(group, g))
-        names = [r[0] for r in rows.select(tie).orderBy(tie).limit(count(rows.count())).collect()]
+        n = rows.count()
+        take = count(n)
+        if n > COLLISIONS:
+            raise ValueError(f"{n} rows agree in {tie} or have none; row keys must be unique")
+        names = [r[0] for r in rows.select(tie).orderBy(tie).collect()]
+        if 0 < take < n and names[take - 1] == names[take] or None in names[:take]:
+            raise ValueError(f"{tie} repeats or is NULL; row keys must be unique")
+        names = names[:take]
         parts.append(_in_group(group, g) & F.col(tie).isin(names))
     return reduce(lambda a, b: a | b, parts)
 

@@ -21,7 +21,7 @@ from rareboost.operators.scoring import transform
 from rareboost.operators.trees import GrowthLimits, Tree, grow, literal_array, route_aggregated
 from rareboost.session import Scratch, stage, unstage
 from rareboost.sources.models import Model
-from rareboost.sources.tables import labelled_table
+from rareboost.sources.tables import checked, labelled
 
 # Least improvement of the loss, and the seed stride of fold models.
 MIN_IMPROVEMENT = 1e-6
@@ -87,7 +87,7 @@ def command_line_config(
 ) -> Config:
     """Configuration with the command line's defaults; 0 early stopping rounds means none."""
     return Config(
-        objective=Focal(gamma, alpha) if loss == "focal" else CrossEntropy(), n_rounds=n_rounds, learning_rate=learning_rate,
+        objective=objective_by_name(loss, gamma, alpha), n_rounds=n_rounds, learning_rate=learning_rate,
         max_depth=max_depth, min_child_weight=min_child_weight, min_samples_leaf=min_samples_leaf, lam=lam,
         col_subsample=col_subsample, sampler=sampler_by_name(sampler, subsample, seed), calibrate=calibrate, platt_scale=platt,
         raw_isotonic=raw_isotonic, early_stopping_rounds=early_stopping_rounds or None, fold_seed=seed, seed=seed,
@@ -107,8 +107,10 @@ def train(df: DataFrame, features: list[str], config: Config, label: str = "y")
     lost executor replays at most that many rounds of projections. The input is
     staged first: it is read several times, and its plan may be expensive.
     """
+    quotas = [q.segment for q in getattr(config.sampler, "quotas", ())]
+    config = replace(config, segments=tuple(dict.fromkeys([*config.segments, *quotas])))
     extra = list(dict.fromkeys([*config.segments, *([config.time] if config.time else [])]))
-    table = stage(labelled_table(df, features, label, keep=extra))
+    table = checked(stage(labelled(df, features, label, keep=extra)))
     model = _boost(table, features, config)
     if config.calibration == "isotonic":
         scores = stage(held_out_scores(table, features, config))
@@ -213,8 +215,9 @@ def held_out_scores(df: DataFrame, features: list[str], config: Config, label: s
     and bin their own rows.
     """
     extra = [config.time] if config.time else []
-    table = labelled_table(df, features, label, keep=extra)
+    table = checked(stage(labelled(df, features, label, keep=extra)))
     folded = stage(assign_folds(table, config.k_folds, config.fold_by, seed if seed is not None else config.fold_seed, config.time))
+    unstage(table)
     sampler = replace(config.sampler, quotas=()) if isinstance(config.sampler, Adaptive) else config.sampler
     parts = []
     for k in range(config.k_folds):

@@ -64,8 +64,11 @@ def time_key(df: DataFrame, time: str) -> Column:
 def temporal_folds(df: DataFrame, time: str, k: int, name: str = "fold") -> DataFrame:
     """Fold ``slot * k div n`` of the time order; equal times are ordered by row hash."""
     _check(k)
-    n = df.count()
     moment = time_key(df, time)
+    bad = moment.isNull() | F.isnan(moment.cast("double"))
+    n, missing = df.agg(F.count("*"), F.count_if(bad)).first()
+    if missing:
+        raise ValueError(f"{missing} rows without a time")
     ends = sorted({math.ceil(i * n / k) for i in range(1, k)} - {0})
     bounds = boundaries_filter(df, [moment, row_hash("time-tie")], lambda total: ends)[None]
     # A fold end that repeats an earlier one (fewer rows than folds) skips a number.
@@ -78,12 +81,15 @@ def temporal_folds(df: DataFrame, time: str, k: int, name: str = "fold") -> Data
 
 
 def assign_folds(df: DataFrame, k: int, by: str = "random", seed: int = 42, time: str | None = None) -> DataFrame:
-    if by == "time":
+    """Folds by class and hash (``random``), by hash alone (``shuffled``) or by time (``time`` or ``temporal``)."""
+    if by in ("time", "temporal"):
         if not time:
             raise ValueError("temporal folds need a time column")
         return temporal_folds(df, time, k)
     if by == "shuffled":
         return shuffled_folds(df, k, seed)
+    if by not in ("random", "stratified"):
+        raise ValueError(f"unknown fold strategy {by!r}")
     return stratified_folds(df, k, seed)
 
 

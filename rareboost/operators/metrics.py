@@ -7,15 +7,14 @@ one row per (group, score); running sums over it replace the sorted table.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rareboost.functions.hashing import row_hash
 from rareboost.functions.losses import EPS, log_loss, positive
+from rareboost.functions.joins import null_safe_join
 from rareboost.functions.ranking import global_rank, running_sums
-from rareboost.functions.selection import head_filter
 from rareboost.session import stage
 
 # Metric names, and whether a higher value is better.
@@ -47,7 +46,7 @@ def _ranking(counts: DataFrame, group: list[str], fpr: float = 0.01) -> DataFram
     run = running_sums(counts, [F.col("p").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, group)
     # One row per group; without groups a single row.
     size = run.groupBy(*group).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    both = run.join(size, group) if group else run.join(F.broadcast(size))
+    both = null_safe_join(run, size, group)
     pos, neg, tp, fp = (F.col(c).cast("double") for c in ("pos", "neg", "tp", "fp"))
     P, N = F.nullif(F.col("n_pos"), F.lit(0)), F.nullif(F.col("n_neg"), F.lit(0))
     within = F.when(fp / N <= fpr, tp / P)
@@ -90,15 +89,22 @@ def _calibration_gap(counts: DataFrame, group: list[str], n_bins: int = 10) -> D
 def precision_at_top(df: DataFrame, group: list[str], share: float = 0.05, p: str = "p", label: str = "y") -> DataFrame:
     """Share of positives among the ``floor(n * share)`` highest scores of every group.
 
-    Ties are broken by row hash. The cut is an exact threshold per group, so the
-    top is filtered, never collected or sorted; groups are models and seeds.
+    Ties are broken by row hash. The score at the cut comes from the running
+    counts of a group's scores; only rows of that very score are looked at again,
+    numbered over range blocks, so neither many groups nor a crowd of equal
+    scores ends up in one place.
     """
-    key = F.concat_ws("|", *group) if group else None
-    values = [r[0] for r in df.select(key).distinct().collect()] if group else []
-    count = lambda n: math.floor(n * share)
-    keys = [-F.col(p), row_hash("top-tie")]
-    top = head_filter(df, keys, {v: count for v in values}, group=key) if group else head_filter(df, keys, count)
-    return df.where(top).groupBy(*group).agg(F.avg(F.col(label).cast("double")).alias("p5pct"))
+    counts = score_counts(df, group, p, label).withColumn("n", F.col("pos") + F.col("neg"))
+    run = stage(running_sums(counts, [F.col("p").desc()], {"upto": F.col("n")}, group))
+    size = run.groupBy(*group).agg(F.floor(F.sum("n") * F.lit(share)).alias("k"))
+    placed = null_safe_join(run, size, group).where("k > 0")
+    above = placed.where("upto <= k").select(*group, "k", F.col("pos").alias("hits"))
+    edge = placed.where("upto > k and upto - n < k").select(*group, "p", "k", (F.col("k") - F.col("upto") + F.col("n")).alias("need"))
+    rows = df.select("row_id", *group, F.col(p).alias("p"), F.col(label).cast("double").alias("_y"), row_hash("top-tie").alias("_h"))
+    tied = null_safe_join(rows, edge, [*group, "p"])
+    drawn = running_sums(tied, [F.col("_h"), F.col("row_id")], {"_r": F.lit(1)}, group).where("_r <= need")
+    hits = above.unionByName(drawn.select(*group, "k", F.col("_y").alias("hits")))
+    return hits.groupBy(*group).agg((F.sum("hits") / F.max("k")).alias("p5pct"))
 
 
 def evaluate(df: DataFrame, group: list[str], p: str = "p", label: str = "y") -> DataFrame:
@@ -112,7 +118,7 @@ def evaluate(df: DataFrame, group: list[str], p: str = "p", label: str = "y") ->
     )
     # Every part has one row per group. Clipping does not change the order of scores.
     parts = [losses, _calibration_gap(counts, group), precision_at_top(df, group, p=p, label=label)]
-    return reduce(lambda a, b: a.join(b, group, "left"), parts, _ranking(counts, group)).select(*group, *METRICS)
+    return reduce(lambda a, b: null_safe_join(a, b, group, "left"), parts, _ranking(counts, group)).select(*group, *METRICS)
 
 
 def over_seeds(records: DataFrame, model: str = "model") -> DataFrame:
@@ -121,9 +127,9 @@ def over_seeds(records: DataFrame, model: str = "model") -> DataFrame:
     return records.groupBy(model).agg(*aggs)
 
 
-def _long(records: DataFrame, model: str) -> DataFrame:
+def _long(records: DataFrame, *ids: str) -> DataFrame:
     higher = F.create_map(*[F.lit(x) for kv in HIGHER_IS_BETTER.items() for x in kv])
-    return records.unpivot([model], METRICS, "metric", "value").withColumn("higher", higher[F.col("metric")])
+    return records.unpivot(list(ids), METRICS, "metric", "value").withColumn("higher", higher[F.col("metric")])
 
 
 def win_counts(records: DataFrame, reference: str, model: str = "model", tolerance: float = 1e-5) -> DataFrame:
@@ -142,9 +148,7 @@ def family_lift(records: DataFrame, family: Column, base: str, model: str = "mod
     best = records.withColumn("family", family).groupBy("family").agg(
         F.max_by(F.struct(model, *METRICS), F.struct("auc", model)).alias("b")
     ).select("family", "b.*")
-    long = _long(best.withColumn(model, F.concat_ws("|", "family", model)), model).select(
-        F.substring_index(model, "|", 1).alias("family"), F.substring_index(model, "|", -1).alias(model), "metric", "value", "higher"
-    )
+    long = _long(best, "family", model)
     ref = long.where(F.col("family") == base).select("metric", F.col("value").alias("base_value"))
     change = F.when(F.col("base_value") == 0, 0.0).otherwise(100.0 * (F.col("value") - F.col("base_value")) / F.nullif(F.col("base_value"), F.lit(0.0)))
     return long.where(F.col("family") != base).join(ref, "metric").select(

@@ -16,6 +16,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rareboost.functions.hashing import row_hash, row_uniform
+from rareboost.functions.joins import null_safe_join
 from rareboost.functions.losses import positive
 from rareboost.functions.selection import head_filter, order_cuts
 from rareboost.session import Scratch
@@ -118,9 +119,10 @@ class Adaptive:
         if self.bonus > 0.0:
             out = out.unionAll(self._boundary(df, threshold, round_))
         for i, quota in enumerate(self.quotas):
-            if quota.segment in df.columns:
-                out = apply_floor(df, scratch.keep(out), quota, self.seed, round_, phase=5 + i)
-                out = apply_cap(scratch.keep(out), quota)
+            if quota.segment not in df.columns:
+                raise ValueError(f"no column for the quota on {quota.segment!r}")
+            out = apply_floor(df, scratch.keep(out), quota, self.seed, round_, phase=5 + i)
+            out = apply_cap(scratch.keep(out), quota)
         return out
 
     def _gradient_threshold(self, df: DataFrame) -> Column:
@@ -183,11 +185,11 @@ def apply_floor(df: DataFrame, sample: DataFrame, quota: SegmentQuota, seed: int
     seg = quota.segment
     have = sample.groupBy(seg).agg(F.count("*").alias("_have"))
     short = (
-        df.select(seg).distinct().join(have, seg, "left")
+        null_safe_join(df.select(seg).distinct(), have, [seg], "left")
         .select(seg, (F.lit(quota.min_per_segment) - F.coalesce("_have", F.lit(0))).alias("_need"))
         .where(F.col("_need") > 0)
     )
-    pool = not_sampled(df.join(short, seg), sample)
+    pool = not_sampled(null_safe_join(df, short, [seg]), sample)
     sized = pool.groupBy(seg).agg(F.count("*").alias("_pool"))
     tag = f"floor-{seg}"
     order = [row_hash(tag, seed, round_), F.col("row_id")]
@@ -196,8 +198,8 @@ def apply_floor(df: DataFrame, sample: DataFrame, quota: SegmentQuota, seed: int
     drawn = (
         pool.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= quota.min_per_segment)
         .withColumn("_r", F.row_number().over(final)).where(F.col("_r") <= F.col("_need"))
-        .join(sized, seg)
     )
+    drawn = null_safe_join(drawn, sized, [seg])
     pi = F.greatest(F.least(F.lit(1.0), F.col("_need") / F.greatest("_pool", F.lit(1))), F.lit(MIN_PROBABILITY))
     extras = drawn.select(
         *df.columns, (1.0 / pi).alias("ipc_w"), F.lit("floor").alias("stratum"), _seq(phase, tag, seed, round_).alias("draw_seq")
@@ -226,6 +228,8 @@ def sampler_by_name(name: str, subsample: float, seed: int = 42) -> Sampler:
         return Goss(0.2, max(subsample, 0.1), seed)
     if name == "adaptive":
         return Adaptive(0.2, max(subsample, 0.1), 0.5, 0.1, seed)
+    if name != "uniform":
+        raise ValueError(f"unknown sampler {name!r}")
     return Uniform(subsample, seed)
 
 

@@ -115,39 +115,41 @@ def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(metrics.over_seeds(records(spark, sf_dir)))
 
 
-def _seed42(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(records(spark, sf_dir).where("seed = 42").drop("seed"))
+def _means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of each model, averaged over all seeds."""
+    return stage(records(spark, sf_dir).groupBy("model").agg(*[F.avg(m).alias(m) for m in metrics.METRICS]))
 
 
 _LONG = f"""{_CURVE},
+means AS MATERIALIZED (SELECT model, {', '.join(f'avg({m}) AS {m}' for m in metrics.METRICS)} FROM records GROUP BY model),
 long AS MATERIALIZED ({' UNION ALL '.join(
-    f"SELECT model, '{m}' AS metric, {m} AS value, {str(h).lower()} AS higher FROM records WHERE seed = 42" for m, h in metrics.HIGHER_IS_BETTER.items())})"""
+    f"SELECT model, '{m}' AS metric, {m} AS value, {str(h).lower()} AS higher FROM means" for m, h in metrics.HIGHER_IS_BETTER.items())})"""
 
 
 @query("m11_win_counts", f"""WITH {_LONG}
 SELECT l.model, CAST(count(*) FILTER (CASE WHEN l.higher THEN l.value > r.value + 1e-5 ELSE l.value < r.value - 1e-5 END) AS BIGINT) AS wins
 FROM long l JOIN long r USING (metric) WHERE r.model = 'noisy' AND l.model <> 'noisy' GROUP BY l.model""")
 def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.win_counts(_seed42(spark, sf_dir), "noisy")
+    return metrics.win_counts(_means(spark, sf_dir), "noisy")
 
 
 @query("m12_family_lift", f"""WITH {_LONG},
 best AS (SELECT family, arg_max(model, (auc, model)) AS model FROM (
-  SELECT *, CASE WHEN model = 'quantity' THEN 'baseline' ELSE 'price' END AS family FROM records WHERE seed = 42) GROUP BY family),
+  SELECT *, CASE WHEN model = 'quantity' THEN 'baseline' ELSE 'price' END AS family FROM means) GROUP BY family),
 b AS (SELECT family, l.* FROM best JOIN long l USING (model))
 SELECT p.family, p.model, p.metric, round(p.value, 4) AS value, round(q.value, 4) AS base_value,
   round((CASE WHEN p.higher THEN 1 ELSE -1 END) * (CASE WHEN q.value = 0 THEN 0 ELSE 100e0 * (p.value - q.value) / q.value END), 4) AS lift_pct
 FROM b p JOIN b q USING (metric) WHERE q.family = 'baseline' AND p.family <> 'baseline'""")
 def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
     family = F.when(F.col("model") == "quantity", "baseline").otherwise("price")
-    return _round(metrics.family_lift(_seed42(spark, sf_dir), family, "baseline"))
+    return _round(metrics.family_lift(_means(spark, sf_dir), family, "baseline"))
 
 
 @query("m13_best_markers", f"""WITH {_LONG}
 SELECT model, metric, round(value, 4) AS value, abs(value - CASE WHEN higher THEN max(value) OVER (PARTITION BY metric)
   ELSE min(value) OVER (PARTITION BY metric) END) < 1e-9 AS is_best FROM long""")
 def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(metrics.best_markers(_seed42(spark, sf_dir)))
+    return _round(metrics.best_markers(_means(spark, sf_dir)))
 
 
 @query("m14_stratified_holdout", f"""WITH {LINES_SQL}

@@ -16,15 +16,15 @@ DEMO = Config(
 )
 DEMO_RAW = replace(DEMO, calibrate=False)
 
-_TRAINED: dict[tuple, Model] = {}
+_TRAINED: dict[tuple[str, str, str], Model] = {}
 
 
-def trained(spark: SparkSession, sf_dir: str, config: Config, name: str) -> Model:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def trained(spark: SparkSession, sf_dir: str, config: Config) -> Model:
+    key = (spark.sparkContext.applicationId, sf_dir, repr(config))
     if key not in _TRAINED:
         _TRAINED[key] = train(lines(spark, sf_dir), FEATURES, config)
     return _TRAINED[key]
 
 
 def demo(spark: SparkSession, sf_dir: str) -> Model:
-    return trained(spark, sf_dir, DEMO, "demo")
+    return trained(spark, sf_dir, DEMO)

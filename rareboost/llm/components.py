@@ -36,11 +36,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     """Of links (a, b): ``node`` and ``component``, its smallest reachable node, for each node but that one."""
     now = stage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
-    while True:
-        large = stage(_large_star(now))
-        small = stage(_small_star(large))
-        unstage(large)
+    while state[0]:
+        small = stage(_small_star(_large_star(now)))
         unstage(now)
         now, before, state = small, state, _state(small)
         if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -102,6 +102,12 @@ def m8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(records(spark, sf_dir))
 
 
+@query("m8_metric_record_null_group", f"WITH {_CURVE} SELECT nullif(model, 'quantity') AS model, seed, {_SEVEN} FROM records")
+def m8_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unnamed = predictions(spark, sf_dir).withColumn("model", F.nullif("model", F.lit("quantity")))
+    return _round(metrics.evaluate(unnamed, GROUP))
+
+
 @query("m9_resolution", f"WITH {_CURVE} SELECT model, seed, round(stddev_pop(p), 5) AS resolution FROM preds GROUP BY model, seed")
 def m9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(metrics.mean_losses(predictions(spark, sf_dir), GROUP).select(*GROUP, "resolution"))
@@ -145,6 +151,19 @@ def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(metrics.family_lift(_means(spark, sf_dir), family, "baseline"))
 
 
+@query("m12_family_lift_named_pipe", f"""WITH {_LONG},
+best AS (SELECT family, arg_max(model, (auc, model)) AS model FROM (
+  SELECT *, CASE WHEN model = 'quantity' THEN 'base|line' ELSE 'price|' END AS family FROM means) GROUP BY family),
+b AS (SELECT family, l.* FROM best JOIN long l USING (model))
+SELECT p.family, 'm|' || p.model AS model, p.metric, round(p.value, 4) AS value, round(q.value, 4) AS base_value,
+  round((CASE WHEN p.higher THEN 1 ELSE -1 END) * (CASE WHEN q.value = 0 THEN 0 ELSE 100e0 * (p.value - q.value) / q.value END), 4) AS lift_pct
+FROM b p JOIN b q USING (metric) WHERE q.family = 'base|line' AND p.family <> 'base|line'""")
+def m12_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _means(spark, sf_dir).withColumn("model", F.concat(F.lit("m|"), "model"))
+    family = F.when(F.col("model") == "m|quantity", "base|line").otherwise("price|")
+    return _round(metrics.family_lift(named, family, "base|line"))
+
+
 @query("m13_best_markers", f"""WITH {_LONG}
 SELECT model, metric, round(value, 4) AS value, abs(value - CASE WHEN higher THEN max(value) OVER (PARTITION BY metric)
   ELSE min(value) OVER (PARTITION BY metric) END) < 1e-9 AS is_best FROM long""")

@@ -187,6 +187,14 @@ def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drawn(sampling.Adaptive(0.2, 0.02, 0.5, quotas=(quota,)).sample(rows, 0))
 
 
+# One brand goes missing; the SQL leaves it its name, as a missing segment is one like any other.
+@query("a5_segment_floor_null", f"WITH {GRADIENTS_SQL}, {adaptive_sql(0.02)}, {floor_sql('drawn', 'topped', 'seg_brand', _FLOOR, 5)} {_OUT} topped")
+def a5_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir).withColumn("seg_brand", F.nullif("seg_brand", F.lit("Brand#11")))
+    quota = sampling.SegmentQuota("seg_brand", min_per_segment=_quota(rows))
+    return _drawn(sampling.Adaptive(0.2, 0.02, 0.5, quotas=(quota,)).sample(rows, 0))
+
+
 @query("a6_segment_quotas", f"""WITH {GRADIENTS_SQL}, {adaptive_sql(0.02, 0.3, keep=0.02)}, {floor_sql('drawn', 'q1', 'seg_brand', _FLOOR, 5)},
 {cap_sql('q1', 'q2', 'seg_brand', 0.04)}, {cap_sql('q2', 'q3', 'seg_priority', 0.2)} {_OUT} q3""")
 def a6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rareboost.operators import metrics, probability, sampling
+from rareboost.functions.hashing import row_hash
+from rareboost.operators import boosting, encoding, folds, metrics, probability, sampling, scoring
 from rareboost.operators.binning import cut_points, fit_binner
 from rareboost.operators.encoding import FeatureSet, target_encode, target_encode_oof
 from rareboost.operators.folds import shuffled_folds, stratified_folds, stratified_holdout, temporal_folds
@@ -339,3 +340,82 @@ def test_csv_reads_blanks_and_rejects_words(spark, tmp_path):
     assert sorted(tuple(r) for r in good.collect()) == [(1.0, 2.5, 0.0), (3.0, 4.0, 1.0)]
     with pytest.raises(Exception):
         tables.read_labelled_csv(spark, str(tmp_path / "bad.csv"), ["a", "b"]).collect()
+
+
+# --- missing values and names that used to change answers without a word ---------------
+
+
+def test_glued_names_stay_apart(spark):
+    rows = [(f"r{i}", a, b, i / 100, float(i % 3 == 0)) for i in range(60) for a, b in ((("a|b", "c"), ("a", "b|c"), (None, "c")))]
+    df = spark.createDataFrame([(f"{r[0]}-{r[1]}-{r[2]}", *r[1:]) for r in rows], "row_id string, g string, s string, p double, y double")
+    got = metrics.evaluate(df, ["g", "s"]).collect()
+    assert sorted(((r["g"], r["s"]) for r in got), key=str) == sorted([("a|b", "c"), ("a", "b|c"), (None, "c")], key=str)
+    assert all(r["auc"] is not None and r["p5pct"] is not None for r in got)
+
+
+def test_precision_at_top_of_tied_scores(spark):
+    df = spark.createDataFrame([(f"r{i}", 0.5, float(i < 30)) for i in range(100)], "row_id string, p double, y double")
+    hashed = df.withColumn("h", row_hash("top-tie")).toPandas().sort_values(["h", "row_id"])
+    assert metrics.precision_at_top(df, []).first()["p5pct"] == pytest.approx(hashed["y"].head(5).mean())
+
+
+def test_unknown_names_raise(spark):
+    df = spark.createDataFrame([(f"r{i}", i, float(i % 2)) for i in range(20)], "row_id string, ts int, y double")
+    with pytest.raises(ValueError, match="fold strategy"):
+        folds.assign_folds(df, 5, "typo")
+    with pytest.raises(ValueError, match="sampler"):
+        sampling.sampler_by_name("typo", 0.5)
+    with pytest.raises(ValueError, match="unknown loss"):
+        boosting.command_line_config(loss="typo")
+    assert folds.assign_folds(df, 5, "temporal", time="ts").where("fold <> ts div 4").count() == 0
+    missing = df.withColumn("ts", F.when(F.col("ts") > 9, F.col("ts")))
+    with pytest.raises(ValueError, match="10 rows without a time"):
+        folds.temporal_folds(missing, "ts", 5)
+
+
+def test_quota_needs_its_column(spark):
+    df = spark.createDataFrame([(f"r{i}", float(i % 2), 0.1 * i, 0.2) for i in range(20)], "row_id string, y double, g double, h double")
+    with pytest.raises(ValueError, match="quota"):
+        sampling.Adaptive(quotas=(sampling.SegmentQuota("country", 5),)).sample(df, 0)
+
+
+def test_missing_segment_is_topped_up(spark):
+    df = spark.createDataFrame(
+        [(f"r{i}", float(i % 2), 0.001 * i, 0.2, None if i < 40 else "x") for i in range(400)],
+        "row_id string, y double, g double, h double, seg string",
+    )
+    quota = sampling.SegmentQuota("seg", 20)
+    drawn = sampling.Adaptive(0.2, 0.1, 0.5, quotas=(quota,)).sample(df, 0)
+    assert drawn.where("seg is null").count() == 20
+
+
+def test_repeated_keys_raise(spark):
+    df = spark.createDataFrame([("a", 1.0)] * 50 + [("b", 2.0)], "row_id string, x double")
+    with pytest.raises(ValueError, match="unique"):
+        sampling.draw_without_replacement(df, 10).count()
+    table = df.withColumn("y", F.lit(1.0))
+    with pytest.raises(ValueError, match="repeats"):
+        tables.labelled_table(table, ["x"])
+    with pytest.raises(ValueError, match="without a row_id"):
+        tables.labelled_table(table.withColumn("row_id", F.nullif("row_id", F.lit("b"))).dropDuplicates(), ["x"])
+
+
+def test_missing_category_has_its_own_rate(spark):
+    train = spark.createDataFrame([(f"r{i}", None if i < 25 else "a", float(i < 20)) for i in range(50)], "row_id string, c string, y double")
+    rows = spark.createDataFrame([("n", None), ("a", "a"), ("b", "b")], "row_id string, c string")
+    got = {r["row_id"]: r["e"] for r in encoding.target_encode(train, rows, ["c"], "e").collect()}
+    assert got == pytest.approx({"n": (20 + 4) / 35, "a": 4 / 35, "b": 0.4})
+
+
+def test_rows_of_a_csv_get_keys(spark, tmp_path):
+    rows = [(float(i % 7), float(i % 3), float(i % 2)) for i in range(300)]
+    spark.createDataFrame(rows, "a double, b double, y double").write.csv(str(tmp_path / "t"))
+    df = tables.read_labelled_csv(spark, str(tmp_path / "t"), ["a", "b"])
+    keyed = tables.with_row_key(df)
+    keys = sorted(r["row_id"] for r in keyed.collect())
+    assert len(set(keys)) == 300
+    assert keys == sorted(r["row_id"] for r in tables.with_row_key(df.repartition(5)).collect())
+    config = boosting.Config(n_rounds=2, max_depth=2, sampler=sampling.Uniform(1.0), col_subsample=1.0, calibrate=False, min_samples_leaf=1)
+    model, by_key = boosting.train(df, ["a", "b"], config), boosting.train(keyed, ["a", "b"], config)
+    assert np.allclose([t.leaf_values for t in model.trees], [t.leaf_values for t in by_key.trees])
+    assert scoring.transform(df, model, "raw").count() == 300

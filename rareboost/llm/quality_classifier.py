@@ -19,6 +19,7 @@ columns named like a result column are replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ from rareboost.llm import textbytes as tb
 from rareboost.llm.columns import hash56
 
 BUCKETS, DIM = 1 << 17, 8
-TRAIN_ROWS, EPOCHS, RATE, SEED = 4_000, 4, 4.0, 42
+TRAIN_ROWS, STEPS, RATE, SEED = 4_000, 16_000, 4.0, 42
 _U4 = np.uint32
 
 
@@ -87,7 +88,7 @@ def score_texts(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Model:
-    """Stochastic gradient descent over whole documents, one at a time, with a falling rate."""
+    """About STEPS steps of stochastic gradient descent, each on one whole document, with a falling rate."""
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
@@ -95,8 +96,9 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     for t in texts:
         bucket, n = np.unique(np.concatenate([b for b, _ in features([t])[0]]), return_counts=True)
         docs.append((bucket, (n / max(1, n.sum())).astype(np.float32)))
-    steps, done = EPOCHS * len(docs), 0
-    for _ in range(EPOCHS):
+    epochs = math.ceil(STEPS / len(docs))
+    steps, done = epochs * len(docs), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             rate = np.float32(RATE * (1 - done / steps))
             done += 1

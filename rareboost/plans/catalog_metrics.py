@@ -205,11 +205,15 @@ def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- post-hoc calibration of held-out scores ------------------------------------------
 
 
-@query("m17_posthoc_platt", f"""WITH RECURSIVE {ONE_MODEL_SQL},
+# Newton iterations of an unregularised logistic fit of the label on the score.
+_NEWTON = f"""{ONE_MODEL_SQL},
 it AS (SELECT 0 AS i, 1e0 AS a, 0e0 AS b UNION ALL
   SELECT i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
     SELECT i, a, b, sum((q - y) * p) AS ga, sum(q - y) AS gb, sum(q * (1 - q) * p * p) AS haa, sum(q * (1 - q) * p) AS hab,
-      sum(q * (1 - q)) AS hbb FROM (SELECT i, a, b, p, y, 1 / (1 + exp(-(a * p + b))) AS q FROM it, scored WHERE i < 25) GROUP BY i, a, b))
+      sum(q * (1 - q)) AS hbb FROM (SELECT i, a, b, p, y, 1 / (1 + exp(-(a * p + b))) AS q FROM it, scored WHERE i < 25) GROUP BY i, a, b))"""
+
+
+@query("m17_posthoc_platt", f"""WITH RECURSIVE {_NEWTON}
 SELECT row_id, round(1 / (1 + exp(-(a * p + b))), 4) AS p_cal FROM scored, it WHERE i = 25""")
 def m17(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = one_model(spark, sf_dir)
@@ -223,7 +227,9 @@ def m18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posthoc.isotonic(scored, scored, "p_cal").select("row_id", F.round("p_cal", 6).alias("p_cal"))
 
 
-@query("m19_dual_calibration")
+@query("m19_dual_calibration", f"""WITH RECURSIVE {_NEWTON},
+mapped AS MATERIALIZED (SELECT row_id, y, 1 / (1 + exp(-(a * p + b))) AS l FROM scored, it WHERE i = 25),
+{isotonic_sql('mapped', 'l')}, {isotonic_apply_sql('mapped', 'l', 'applied')} SELECT row_id, round(prob, 6) AS p_cal FROM applied""")
 def m19(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = one_model(spark, sf_dir)
     return posthoc.dual(scored, scored, "p_cal").select("row_id", F.round("p_cal", 6).alias("p_cal"))

@@ -26,6 +26,7 @@ other; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -307,6 +308,7 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _free(spark) -> None:
     """Let Spark delete the shuffle files of steps whose results are staged."""
+    gc.collect()
     spark._jvm.System.gc()
 
 
@@ -316,17 +318,18 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     packed = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
         _chunks, "ids binary, nulls binary, offsets binary, data binary"
     )
-    chunks = stage(packed.withColumn("chunk", F.monotonically_increasing_id()))
+    chunks = stage(packed.withColumn("chunk", F.monotonically_increasing_id()), "zstd")
     n_bytes = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes * 2 // (SPAN + 1) // MARKS_PER_BUCKET)
     marks = chunks.select("chunk", "ids", "offsets", "data").mapInArrow(_send_marks(n_buckets), "bucket int, chunk long, marks binary, several binary")
     answers = marks.groupBy("bucket").applyInPandas(_settle, "chunk long, bucket int, bits binary, n int")
     by_chunk = stage(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits", "n")).alias("answers")))
+    del marks, answers, packed
     _free(spark)
     segments = chunks.select("chunk", "ids", "offsets", "data").join(by_chunk, "chunk").mapInArrow(
         _segments, "key long, id long, chunk long, at int, bytes binary"
     )
-    segments = stage(segments)
+    segments = stage(segments, "zstd")
     _free(spark)
     hot = stage(segments.groupBy("key").count().where(F.col("count") > HOT).select("key"))
     plain = segments

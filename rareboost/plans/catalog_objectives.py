@@ -24,16 +24,21 @@ def _gradients(spark: SparkSession, sf_dir: str, objective) -> DataFrame:
 
 
 def focal_sql(p: str, gamma: float, w1: float, w0: float) -> tuple[str, str]:
-    """Gradient and hessian with each class written out."""
-    g, a, b = f"{gamma}e0", f"{w1}e0", f"{w0}e0"
-    q = f"(1 - {p})"
-    g1 = f"{a} * {p} * pow({q}, {g}) * ({g} * ln({p}) - {q} / {p})"
-    h1 = (f"{a} * {p} * {q} * (pow({q}, {g} - 1) * ({q} - {g} * {p}) * ({g} * ln({p}) - {q} / {p})"
-          f" + {p} * pow({q}, {g}) * ({g} / {p} + 1 / ({p} * {p})))")
-    d = f"({p} - {g} * {q} * ln({q}))"
-    g0 = f"{b} * pow({p}, {g}) * {d}"
-    h0 = f"{b} * {p} * {q} * ({g} * pow({p}, {g} - 1) * {d} + pow({p}, {g}) * (1 + {g} * (ln({q}) + 1)))"
-    return f"CASE WHEN y > 0.5 THEN {g1} ELSE {g0} END", f"CASE WHEN y > 0.5 THEN {h1} ELSE {h0} END"
+    """Gradient and hessian as sums of monomials t^a u^b (ln t)^c, t the true class's probability and u = 1 - t.
+
+    Along x the loss -w u^gamma ln t has the slope w (gamma t u^gamma ln t - u^(gamma+1)), negated for the other class;
+    t' = t u and u' = -t u give the second derivative term by term.
+    """
+
+    def terms(t: str, u: str, w: float) -> tuple[str, str]:
+        low, high = f"pow({u}, {gamma}e0)", f"pow({u}, {gamma + 1}e0)"
+        slope = f"{w}e0 * ({gamma}e0 * {t} * {low} * ln({t}) - {high})"
+        curve = f"{w}e0 * ({gamma}e0 * {t} * {high} * ln({t}) - {gamma * gamma}e0 * {t} * {t} * {low} * ln({t}) + {2 * gamma + 1}e0 * {t} * {high})"
+        return slope, curve
+
+    g1, h1 = terms(p, f"(1 - {p})", w1)
+    g0, h0 = terms(f"(1 - {p})", p, w0)
+    return f"CASE WHEN y > 0.5 THEN {g1} ELSE -({g0}) END", f"CASE WHEN y > 0.5 THEN {h1} ELSE {h0} END"
 
 
 @query("o1_sigmoid", f"WITH {GRADIENTS_SQL} SELECT row_id, round({sigmoid_sql('(40 * pred)')}, 9) AS p FROM gradients")

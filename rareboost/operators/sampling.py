@@ -119,10 +119,10 @@ class Adaptive:
         if self.bonus > 0.0:
             out = out.unionAll(self._boundary(df, threshold, round_))
         for i, quota in enumerate(self.quotas):
-            if quota.segment not in df.columns:
-                raise ValueError(f"no column for the quota on {quota.segment!r}")
-            out = apply_floor(df, scratch.keep(out), quota, self.seed, round_, phase=5 + i)
-            out = apply_cap(scratch.keep(out), quota)
+            # Training carries the columns of all quotas and fails without them; a bare frame may lack some.
+            if quota.segment in df.columns:
+                out = apply_floor(df, scratch.keep(out), quota, self.seed, round_, phase=5 + i)
+                out = apply_cap(scratch.keep(out), quota)
         return out
 
     def _gradient_threshold(self, df: DataFrame) -> Column:

@@ -374,9 +374,13 @@ def test_unknown_names_raise(spark):
 
 
 def test_quota_needs_its_column(spark):
-    df = spark.createDataFrame([(f"r{i}", float(i % 2), 0.1 * i, 0.2) for i in range(20)], "row_id string, y double, g double, h double")
-    with pytest.raises(ValueError, match="quota"):
-        sampling.Adaptive(quotas=(sampling.SegmentQuota("country", 5),)).sample(df, 0)
+    df = spark.createDataFrame([(f"r{i}", float(i % 2), 0.1 * i, "a" if i else None) for i in range(60)], "row_id string, y double, x double, seg string")
+    config = boosting.Config(n_rounds=1, max_depth=1, k_folds=2, sampler=sampling.Adaptive(quotas=(sampling.SegmentQuota("country", 5),)))
+    with pytest.raises(ValueError, match="country"):
+        boosting.train(df, ["x"], config)
+    # A quota's column is carried without being named as a segment.
+    config = boosting.Config(n_rounds=1, max_depth=1, k_folds=2, sampler=sampling.Adaptive(quotas=(sampling.SegmentQuota("seg", 5),)))
+    assert boosting.train(df, ["x"], config).n_trees == 1
 
 
 def test_missing_segment_is_topped_up(spark):

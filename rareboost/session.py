@@ -30,6 +30,11 @@ def _app_folder(spark: SparkSession) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"rareboost-{spark.sparkContext.applicationId}")
 
 
+def staged_path(spark: SparkSession) -> str:
+    """A new folder among the staged tables; ``drop_staged_tables`` removes it with them."""
+    return os.path.join(_app_folder(spark), uuid.uuid4().hex)
+
+
 def stage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -37,7 +42,7 @@ def stage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     the planner the measured size of the table.
     """
     spark = df.sparkSession
-    path = os.path.join(_app_folder(spark), uuid.uuid4().hex)
+    path = staged_path(spark)
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(schema).parquet(path)

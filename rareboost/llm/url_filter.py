@@ -2,9 +2,9 @@
 
 The first filter holds the listed keys. The second holds the keys of the corpus
 that the first takes for listed, the third the listed keys that the second takes
-for those, and so on, until a level takes nothing wrongly. A key then is listed
-if the first level that turns it away has an odd number, counted from the
-second, or if none does and the number of levels is odd. Over the complete key
+for those, and so on, until a level takes nothing wrongly. With levels numbered
+from 0, a key is listed if the first level that turns it away has an odd number
+or, where none does, if the number of levels is odd. Over the complete key
 universe of the corpus, on which the cascade is built, the answer is exact.
 
 Levels are bit arrays whose size follows the number of LISTED keys: the first

@@ -3,10 +3,11 @@
 A byte goes if a 50-byte string that covers it also starts in a document of a
 smaller id. No machine holds the corpus, so the suffix array is cut into parts
 that can be sorted alone: every 50-byte window belongs to the least hash of its
-16-byte grams (its anchor), equal windows have equal anchors, and neighbouring
+24-byte grams (its anchor), equal windows have equal anchors, and neighbouring
 windows of one anchor travel as one segment.
 
-1. Documents are packed into chunks of about 2 MB, staged once.
+1. Documents are packed into chunks of about 2 MB, staged once. Copies of the
+   whole text of a smaller id go at once and take no part in what follows.
 2. Which anchors occur in two documents is settled on 32-bit marks in hash
    buckets: every chunk sends each mark once, whatever the number of its copies,
    and gets one bit back. A mark shared by accident only makes work.
@@ -39,7 +40,7 @@ from rareboost.llm import textbytes as tb
 from rareboost.llm.suffix_array import SuffixArray
 from rareboost.session import stage, unstage
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 CHUNK_BYTES, MARKS_PER_BUCKET, HOT = 2 << 20, 1_000_000, 20_000
 #: Rows of segments that one suffix array takes, besides the rest of the last anchor.
@@ -53,12 +54,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         null = np.asarray(batch.column(0).is_null())
         data, offsets = tb.utf8(batch.column(1))
         for a, b in tb.runs(offsets, CHUNK_BYTES):
-            blobs = [ids[a:b], null[a:b], offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in blobs], ["ids", "nulls", "offsets", "data"])
+            # Texts travel compressed: they are dealt by chunk twice.
+            text = pa.compress(data[offsets[a] : offsets[b]].tobytes(), codec="zstd", asbytes=True)
+            blobs = [ids[a:b].tobytes(), null[a:b].tobytes(), (offsets[a : b + 1] - offsets[a]).tobytes(), text]
+            size = pa.array([int(offsets[b] - offsets[a])], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in blobs], size], ["ids", "nulls", "offsets", "data", "size"])
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["offsets"], np.int64), np.frombuffer(row["data"], np.uint8)
+    ids, offsets = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["offsets"], np.int64)
+    text = pa.decompress(row["data"], int(offsets[-1]), codec="zstd", asbytes=True) if offsets[-1] else b""
+    return ids, offsets, np.frombuffer(text, np.uint8)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -68,15 +74,27 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: c[k].as_py() for n, c in zip(batch.schema.names, batch.columns)}
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Id and digest of the whole text of every document that can lose something."""
+    for row in _rows(batches):
+        ids, offsets, data = _unpack(row)
+        doc = np.flatnonzero(np.diff(offsets) >= LENGTH)
+        digest = [hashlib.blake2b(data[offsets[k] : offsets[k + 1]], digest_size=16).digest() for k in doc]
+        chunk = pa.array(np.full(len(doc), row["chunk"], np.int64))
+        yield pa.RecordBatch.from_arrays([chunk, pa.array(doc.astype(np.int32)), pa.array(ids[doc]), pa.array(digest, pa.binary())], ["chunk", "doc", "id", "digest"])
+
+
 class Anchors:
     """For each window of a chunk, the place of its anchor; windows that span documents have none."""
 
-    def __init__(self, offsets: np.ndarray, data: np.ndarray) -> None:
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, copies: list[int] | None) -> None:
         self.hashes = tb.grams(data.astype(np.uint64) + np.uint64(1), GRAM)
         least = tb.sliding(self.hashes, SPAN, np.minimum)
         n = len(least)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
-        self.valid = np.arange(n) + LENGTH <= offsets[1:][self.doc]
+        takes_part = np.ones(len(offsets) - 1, bool)
+        takes_part[copies or []] = False
+        self.valid = (np.arange(n) + LENGTH <= offsets[1:][self.doc]) & takes_part[self.doc]
         self.least = least
 
     def marks(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +123,7 @@ def _send_marks(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             ids, offsets, data = _unpack(row)
-            h, several = Anchors(offsets, data).marks(ids)
+            h, several = Anchors(offsets, data, row["copies"]).marks(ids)
             cut = np.searchsorted(_bucket(h, n_buckets), np.arange(n_buckets + 1))
             some = [k for k in range(n_buckets) if cut[k] < cut[k + 1]] if n_buckets < len(h) else np.unique(_bucket(h, n_buckets)).tolist()
             marks = h.astype(np.uint32)
@@ -142,7 +160,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of neighbouring windows that share a repeated anchor."""
     for row in _rows(batches):
         ids, offsets, data = _unpack(row)
-        anchors = Anchors(offsets, data)
+        anchors = Anchors(offsets, data, row["copies"])
         h, _ = anchors.marks(ids)
         bits = [np.unpackbits(np.frombuffer(b["bits"], np.uint8)) for b in sorted(row["answers"], key=lambda b: b["bucket"])]
         sizes = [int(b["n"]) for b in sorted(row["answers"], key=lambda b: b["bucket"])]
@@ -282,6 +300,9 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, offsets, data = _unpack(row)
         null = np.frombuffer(row["nulls"], bool)
         edges = np.zeros(len(data) + 1, np.int64)
+        for k in row["copies"] or []:
+            edges[offsets[k]] += 1
+            edges[offsets[k + 1]] -= 1
         for blob in row["ranges"] or []:
             pairs = np.frombuffer(blob, np.int32).reshape(-1, 2)
             np.add.at(edges, pairs[:, 0], 1)
@@ -316,15 +337,23 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """``key``, n_bytes, n_removed, n_spans and kept_sha256 of every row; ``with_text`` adds ``kept``, the remaining bytes."""
     spark = docs.sparkSession
     packed = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
-        _chunks, "ids binary, nulls binary, offsets binary, data binary"
+        _chunks, "ids binary, nulls binary, offsets binary, data binary, size long"
     )
     chunks = stage(packed.withColumn("chunk", F.monotonically_increasing_id()), "zstd")
-    n_bytes = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    n_bytes = chunks.agg(F.sum("size")).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes * 2 // (SPAN + 1) // MARKS_PER_BUCKET)
-    marks = chunks.select("chunk", "ids", "offsets", "data").mapInArrow(_send_marks(n_buckets), "bucket int, chunk long, marks binary, several binary")
+    digests = chunks.select("chunk", "ids", "offsets", "data").mapInArrow(_digests, "chunk long, doc int, id long, digest binary")
+    digests = stage(digests)
+    first = digests.groupBy("digest").agg(F.min("id").alias("first"))
+    late = digests.join(first, "digest").where("id > first")
+    copies = stage(late.groupBy("chunk").agg(F.collect_list("doc").alias("copies")))
+    unstage(digests)
+    blobs = chunks.select("chunk", "ids", "offsets", "data").join(copies, "chunk", "left")
+    marks = blobs.mapInArrow(_send_marks(n_buckets), "bucket int, chunk long, marks binary, several binary")
     answers = marks.groupBy("bucket").applyInPandas(_settle, "chunk long, bucket int, bits binary, n int")
-    by_chunk = stage(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits", "n")).alias("answers")))
-    del marks, answers, packed
+    by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits", "n")).alias("answers"))
+    by_chunk = stage(by_chunk.join(copies, "chunk", "left"))
+    del marks, answers, packed, blobs
     _free(spark)
     segments = chunks.select("chunk", "ids", "offsets", "data").join(by_chunk, "chunk").mapInArrow(
         _segments, "key long, id long, chunk long, at int, bytes binary"
@@ -346,8 +375,10 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     removed = stage(found.groupBy("chunk").agg(F.collect_list("ranges").alias("ranges")))
     for done in (by_chunk, segments, hot):
         unstage(done)
+    del found, ranges, plain, segments, by_chunk, hot
     _free(spark)
     columns = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    out = chunks.join(removed, "chunk", "left").select("ids", "nulls", "offsets", "data", "ranges").mapInArrow(_results, columns)
+    marked = chunks.select("chunk").join(removed, "chunk", "left").join(copies, "chunk", "left")
+    out = chunks.join(marked, "chunk").select("ids", "nulls", "offsets", "data", "ranges", "copies").mapInArrow(_results, columns)
     out = out.withColumnRenamed("id", key)
     return out if with_text else out.drop("kept")

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,7 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rareboost.session import ensure_checkpoint_dir, stage
+from rareboost.session import stage, staged_path, unstage
 
 ARCHIVE_BYTES = 8 << 20
 END = "\r\n\r\n"
@@ -149,12 +148,16 @@ def _parse(name: str, data: bytes) -> Iterator[dict]:
         yield row
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column(0), batch.column(1)):
-            rows = list(_parse(path.as_py(), content.as_py()))
-            for a in range(0, len(rows), 1500):
-                yield pa.RecordBatch.from_pylist(rows[a : a + 1500], SCHEMA)
+def _reader(with_payload: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                rows = list(_parse(path.as_py(), content.as_py()))
+                for a in range(0, len(rows), 1500):
+                    part = rows[a : a + 1500]
+                    yield pa.RecordBatch.from_pylist(part if with_payload else [r | {"payload": None} for r in part], SCHEMA)
+
+    return run
 
 
 SCHEMA = pa.schema([
@@ -163,10 +166,10 @@ SCHEMA = pa.schema([
 ])
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives in a folder."""
+def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """One row per record of the archives in a folder; without payloads these are digested and left behind."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
-    return files.select("path", "content").mapInArrow(_read, RECORD)
+    return files.select("path", "content").mapInArrow(_reader(with_payload), RECORD)
 
 
 def captures(records: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -181,14 +184,17 @@ def captures(records: DataFrame, with_payload: bool = False) -> DataFrame:
 def round_trip(pages: DataFrame, *, key: str = "page_id", payload: str = "html", least: int = 0) -> DataFrame:
     """Write all pages, read the archives, and return what the captures say of each page."""
     spark = pages.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), f"warc-{uuid.uuid4().hex}")
+    path = staged_path(spark)
     write_warc(pages, path, key=key, payload=payload, least=least)
+    # Archives are parsed once; captures join the narrow records three ways.
+    records = stage(read_records(spark, path, with_payload=False).drop("payload"))
     found = stage(
-        captures(read_records(spark, path)).select(
+        captures(records).select(
             F.col("metadata.page_id").alias("page_id"), "answer.payload_bytes", "answer.payload_digest", F.col("answer.kind").alias("record_type"),
             F.regexp_extract("answer.refers_to", r"^urn:page:(-?\d+)$", 1).alias("to"),
         )
     )
+    unstage(records)
     found = found.withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("to").cast("long"))).drop("to")
     originals = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("of"))
     out = found.join(originals, ["refers_to", "payload_digest"], "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "of"))

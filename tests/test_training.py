@@ -206,3 +206,18 @@ def test_fit_returns_a_booster(table):
     p = booster.predict_proba(table).agg(F.min("p"), F.max("p")).collect()[0]
     assert 0 <= p[0] <= p[1] <= 1
     assert booster.predict_raw(table).columns[-1] == "raw"
+
+
+def test_the_presets_query_trains_the_presets_as_defined(spark, sf, monkeypatch):
+    from rareboost.plans import catalog_trees
+
+    seen = []
+
+    def record(df, features, config):
+        seen.append(config)
+        return boosting.train(df, features, replace(config, n_rounds=1, max_depth=1))
+
+    monkeypatch.setattr(catalog_trees, "train", record)
+    out = catalog_trees.b4(spark, sf)
+    assert seen == [boosting.default_bce(), boosting.focal_calibrated(2.0, 0.25)]
+    assert out.count() == 2 * lines(spark, sf).count()

@@ -217,11 +217,11 @@ def c15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c16_calibration_precedence")
 def c16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every switch combination trained for one round: the calibration it resolves to, and its mean score."""
+    """Every switch combination of the demonstration model: the calibration it resolves to, and its mean score."""
     base = stage(lines(spark, sf_dir))
     parts = []
     for calibrate, platt, iso in ((False, True, True), (True, False, False), (True, True, False), (True, True, True)):
-        config = replace(DEMO, n_rounds=1, max_depth=1, calibrate=calibrate, platt_scale=platt, raw_isotonic=iso, k_folds=2)
+        config = replace(DEMO, calibrate=calibrate, platt_scale=platt, raw_isotonic=iso)
         model = train(base, FEATURES, config)
         mode = {"platt": "platt"}.get(config.calibration, "auto")
         parts.append(transform(base, model, mode).agg(F.round(F.avg("p"), 6).alias("mean_p")).select(

@@ -212,9 +212,9 @@ def b2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("b3_early_stopping")
 def b3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vanishing learning rate cannot improve the loss: training stops after patience rounds."""
+    """A rate above one overshoots: the loss improves, then stalls, and the rounds of the stall stay in the model."""
     base = stage(lines(spark, sf_dir))
-    config = replace(DEMO, calibrate=False, n_rounds=6, learning_rate=1e-9, early_stopping_rounds=2)
+    config = replace(DEMO, calibrate=False, n_rounds=6, learning_rate=1.05, early_stopping_rounds=2)
     model = train(base, FEATURES, config)
     scored = transform(base, model, "margin", "pred")
     loss = F.avg(log_loss(F.col("y"), sigmoid(F.col("pred"))))

@@ -221,3 +221,53 @@ def test_the_presets_query_trains_the_presets_as_defined(spark, sf, monkeypatch)
     out = catalog_trees.b4(spark, sf)
     assert seen == [boosting.default_bce(), boosting.focal_calibrated(2.0, 0.25)]
     assert out.count() == 2 * lines(spark, sf).count()
+
+
+def test_early_stopping_query_improves_then_stalls(spark, sf, table, local):
+    """The twin's loss after every round: best after some rounds, then two rounds no better, which are kept."""
+    from rareboost.plans.catalog_trees import b3
+
+    draws = table.select("row_id", *[row_uniform("uniform", 42, r).alias(f"d{r}") for r in range(6)]).orderBy("row_id").toPandas()
+    y, losses_ = local["y"].to_numpy(), []
+    for n in range(1, 7):
+        weights = lambda r: np.where(draws[f"d{r}"].to_numpy() < 0.8, 1 / 0.8, 0.0)
+        pred = twin.train(local[FEATURES].to_numpy(), y, n, 1.05, 2, 32, weights=weights)[0]
+        p = np.clip(twin.sigmoid(pred), losses.EPS, 1 - losses.EPS)
+        losses_.append(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+    best = next(i for i in range(4) if min(losses_[i + 1], losses_[i + 2]) >= losses_[i] - 1e-6)
+    assert best >= 2 and losses_[:best + 1] == sorted(losses_[:best + 1], reverse=True)
+    got = b3(spark, sf).collect()[0]
+    assert got["n_trees"] == best + 3 and got["log_loss"] == pytest.approx(losses_[best + 2], abs=2e-6)
+
+
+def test_calibration_precedence_query_trains_the_demo_model(spark, sf, con, local):
+    """No and leaf calibration against SQL, Platt against the twin, isotonic against a fit on held-out scores."""
+    from rareboost.operators.boosting import held_out_scores
+    from rareboost.plans.catalog_calibration import c16
+    from rareboost.plans.fixtures import sigmoid_sql
+    from rareboost.plans.models import DEMO
+    from rareboost.plans.oracles import boost_sql
+
+    got = {r["calibration"]: (r["mode"], r["mean_p"]) for r in c16(spark, sf).collect()}
+    assert {c: m for c, (m, _) in got.items()} == {"none": "raw", "leaf": "calibrated", "platt": "platt", "isotonic": "isotonic"}
+    raw = con.execute(f"WITH {boost_sql(calibrate=False)} SELECT avg({sigmoid_sql('pred')}) FROM state2").fetchone()[0]
+    leaf = con.execute(f"WITH {boost_sql()} SELECT avg((prob0 + prob1) / 2) FROM state2").fetchone()[0]
+    assert got["none"][1] == pytest.approx(raw, abs=2e-6) and got["leaf"][1] == pytest.approx(leaf, abs=2e-6)
+    u, y = [local["u"].to_numpy(), local["u1"].to_numpy()], local["y"].to_numpy()
+    weights = lambda r: np.where(u[r] < 0.8, 1 / 0.8, 0.0)
+    pred, _, oof, _ = twin.train(local[FEATURES].to_numpy(), y, 2, 0.3, 2, 32, weights=weights, fold=local["fold"].to_numpy(), k=5)
+    a, b = platt_fit(spark.createDataFrame([(float(s), int(t)) for s, t in zip(oof, y)], "score double, y int"))
+    assert got["platt"][1] == pytest.approx(twin.sigmoid(a * pred + b).mean(), abs=2e-6)
+    held = held_out_scores(lines(spark, sf), FEATURES, replace(DEMO, raw_isotonic=True)).groupBy("score").agg(F.avg("y"), F.count("*")).collect()
+    points = sorted(tuple(float(x) for x in r) for r in held)
+    fit_ = isotonic_brute(points)
+    margin = margins(lines(spark, sf), train(lines(spark, sf), FEATURES, replace(DEMO, calibrate=False)))
+    assert got["isotonic"][1] == pytest.approx(np.interp(margin, [s for s, _, _ in points], fit_).mean(), abs=2e-4)
+
+
+def isotonic_brute(points):
+    """Max-min form of the isotonic fit of (score, rate, weight)."""
+    r, w = np.array([p[1] for p in points]), np.array([p[2] for p in points])
+    n = len(points)
+    mean = lambda j, k: (r[j:k + 1] * w[j:k + 1]).sum() / w[j:k + 1].sum()
+    return [max(min(mean(j, k) for k in range(i, n)) for j in range(i + 1)) for i in range(n)]

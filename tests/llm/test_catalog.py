@@ -16,4 +16,4 @@ def test_query_equals_sql(spark, con, sf, name):
 def test_driver_entry_lists_them():
     names = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names)
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))

@@ -62,26 +62,39 @@ class Binner:
     def n_bins(self) -> list[int]:
         return [len(u) for u in self.uppers]
 
+    def _assign(self, columns: tuple[pa.Array, ...]) -> np.ndarray:
+        """Bin of every value: the first whose upper end is not below it; missing values go to bin 0, as they do when scoring."""
+        out = np.empty((len(columns[0]), len(columns)), dtype=np.uint8)
+        for j, (column, upper) in enumerate(zip(columns, self.uppers)):
+            v = column.to_numpy(zero_copy_only=False)
+            b = np.minimum(np.searchsorted(np.asarray(upper), v, side="left"), len(upper) - 1)
+            out[:, j] = np.where(np.isnan(v), 0, b)
+        return out
+
+    def _inputs(self) -> list[Column]:
+        return [F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in self.features]
+
     def codes(self) -> Column:
-        """``feature * 256 + bin`` for every feature, as one array per row.
+        """``feature * 256 + bin`` for every feature, as one array per row."""
+
+        def assign(*columns: pa.Array) -> pa.Array:
+            binned = self._assign(columns).astype(np.int32) + np.arange(len(columns), dtype=np.int32) * MAX_BINS
+            offsets = pa.array(np.arange(len(binned) + 1, dtype=np.int32) * len(columns))
+            return pa.ListArray.from_arrays(offsets, pa.array(binned.reshape(-1)))
 
-        The first bin whose upper end is not below the value; missing values go
-        to bin 0, as they do when scoring.
-        """
-        uppers = [np.asarray(u) for u in self.uppers]
+        return F.arrow_udf(assign, "array<int>")(*self._inputs())
+
+    def packed(self) -> Column:
+        """The bins as one byte per feature, a quarter of ``codes``; what training keeps."""
+        if not self.features:
+            return F.lit(b"")
 
         def assign(*columns: pa.Array) -> pa.Array:
-            n = len(columns[0])
-            out = np.empty((n, len(columns)), dtype=np.int32)
-            for j, (column, upper) in enumerate(zip(columns, uppers)):
-                v = column.to_numpy(zero_copy_only=False)
-                b = np.minimum(np.searchsorted(upper, v, side="left"), len(upper) - 1)
-                out[:, j] = np.where(np.isnan(v), 0, b) + j * MAX_BINS
-            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * len(columns))
-            return pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1)))
-
-        udf = F.arrow_udf(assign, "array<int>")
-        return udf(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in self.features])
+            binned = self._assign(columns)
+            offsets = np.arange(len(binned) + 1, dtype=np.int32) * len(columns)
+            return pa.Array.from_buffers(pa.binary(), len(binned), [None, pa.py_buffer(offsets), pa.py_buffer(binned.tobytes())])
+
+        return F.arrow_udf(assign, "binary")(*self._inputs())
 
 
 def fit_binner(df: DataFrame, features: list[str], n_bins: int) -> Binner:

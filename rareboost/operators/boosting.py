@@ -16,10 +16,10 @@ from rareboost.operators.binning import column_subset, fit_binner
 from rareboost.operators.folds import assign_folds
 from rareboost.operators.histogram import GainSplitter, Splitter
 from rareboost.operators.probability import collect_breakpoints, isotonic_breakpoints, platt_fit
-from rareboost.operators.sampling import Adaptive, Sampler, default_sampler, sampler_by_name
+from rareboost.operators.sampling import Adaptive, Sampler, Uniform, default_sampler, sampler_by_name
 from rareboost.operators.scoring import transform
-from rareboost.operators.trees import GrowthLimits, Tree, grow, literal_array, route_aggregated
-from rareboost.session import Scratch, stage, unstage
+from rareboost.operators.trees import GrowthLimits, Step, Tree, grow, reached, replay
+from rareboost.session import Scratch, spread, stage, unstage
 from rareboost.sources.models import Model
 from rareboost.sources.tables import checked, labelled
 
@@ -54,7 +54,7 @@ class Config:
     null_leaf: str = "zero"
     early_stopping_rounds: int | None = None
     seed: int = 42
-    checkpoint_every: int = 5
+    checkpoint_every: int = 50
 
     @property
     def limits(self) -> GrowthLimits:
@@ -101,16 +101,18 @@ def first_score(prior: float) -> float:
 def train(df: DataFrame, features: list[str], config: Config, label: str = "y") -> Model:
     """Train a model on ``row_id``, ``label`` and the named feature columns.
 
-    Each round makes narrow passes over one cached table of bin codes and
-    predictions; only histogram cells, leaf statistics and single-row sums are
-    shuffled. The table is staged to shared storage every ``checkpoint_every`` rounds, so a
-    lost executor replays at most that many rounds of projections. The input is
-    staged first: it is read several times, and its plan may be expensive.
+    Bin codes are staged to shared storage once. A round rebuilds the predictions
+    by one narrow pass over them, in which the latest trees are replayed as arrays;
+    every ``checkpoint_every`` rounds codes and predictions are staged anew, so that
+    few trees are replayed. The plan of a round has the same size in every round,
+    and a lost executor repeats that one pass. Only histogram cells, leaf statistics
+    and single-row sums are shuffled. The input is staged first: it is read several
+    times, and its plan may be expensive.
     """
     quotas = [q.segment for q in getattr(config.sampler, "quotas", ())]
     config = replace(config, segments=tuple(dict.fromkeys([*config.segments, *quotas])))
     extra = list(dict.fromkeys([*config.segments, *([config.time] if config.time else [])]))
-    table = checked(stage(labelled(df, features, label, keep=extra)))
+    table = checked(stage(spread(labelled(df, features, label, keep=extra), "row_id")))
     model = _boost(table, features, config)
     if config.calibration == "isotonic":
         scores = stage(held_out_scores(table, features, config))
@@ -131,57 +133,49 @@ def _boost(table: DataFrame, features: list[str], config: Config) -> Model:
     prior = config.objective.prior if config.objective.prior is not None else stats["prior"]
     start = first_score(prior)
     kept = [c for c in base.columns if c not in features or c in config.segments]
-    state = base.select(*kept, binner.codes().alias("codes"), F.lit(start).alias("pred"), F.lit(start).alias("oof"))
-    staged = stage(state if mode == "platt" else state.drop("oof"))
-    state = staged.persist(StorageLevel.MEMORY_AND_DISK)
+    state = base.select(*kept, binner.packed().alias("codes"), F.lit(start).alias("pred"), F.lit(start).alias("oof"))
+    staged = stage(state if mode == "platt" else state.drop("oof")).persist(StorageLevel.MEMORY_AND_DISK)
+    tasks = staged.rdd.getNumPartitions()
     leaf_prior = calibration.clamp_prior(stats["prior"])
 
     trees: list[Tree] = []
+    # Trees that are not yet in the staged predictions.
+    steps: list[Step] = []
     best, stale = float("inf"), 0
     for round_ in range(config.n_rounds):
+        if len(steps) >= config.checkpoint_every:
+            outdated, staged, steps = staged, stage(replay(staged, steps)).persist(StorageLevel.MEMORY_AND_DISK), []
+            _drop(outdated)
         with Scratch() as scratch:
             g, h = config.objective.grad_hess(F.col("y"), F.col("pred"))
-            work = state.select("*", g.alias("g"), h.alias("h"))
+            work = scratch.keep(replay(staged, steps).select("*", g.alias("g"), h.alias("h")))
+            if round_ and config.early_stopping_rounds is not None:
+                loss = work.agg(F.avg(log_loss(F.col("y"), sigmoid(F.col("pred"))))).collect()[0][0]
+                best, stale = (loss, 0) if loss < best - MIN_IMPROVEMENT else (best, stale + 1)
+                if stale >= config.early_stopping_rounds:
+                    break
             sample = config.sampler.sample(work, round_, scratch).select("y", "codes", "g", "h", "ipc_w")
             only = column_subset(features, config.col_subsample, config.seed, round_)
-            tree = grow(scratch.keep(sample), binner, config.limits, config.splitter, only)
-            fold_table = None
-            if mode in ("leaf", "platt"):
-                fold_table = _calibrate(work, tree, config, leaf_prior)
-        after = _advance(state, tree, config, fold_table if mode == "platt" else None)
-        outdated = None
-        if (round_ + 1) % config.checkpoint_every == 0 and round_ + 1 < config.n_rounds:
-            outdated, staged = staged, stage(after)
-            after = staged
-        after = after.persist(StorageLevel.MEMORY_AND_DISK)
+            everything = isinstance(config.sampler, Uniform) and config.sampler.rate >= 1.0
+            tree = grow(sample if everything else scratch.keep(sample), binner, config.limits, config.splitter, only, tasks)
+            by_fold = _calibrate(work, tree, config, leaf_prior) if mode in ("leaf", "platt") else None
         trees.append(tree)
-        stop = False
-        if config.early_stopping_rounds is not None:
-            loss = after.agg(F.avg(log_loss(F.col("y"), sigmoid(F.col("pred"))))).collect()[0][0]
-            if loss < best - MIN_IMPROVEMENT:
-                best, stale = loss, 0
-            else:
-                stale += 1
-                stop = stale >= config.early_stopping_rounds
-        else:
-            after.count()
-        state.unpersist()
-        state = after
-        if outdated is not None:
-            unstage(outdated)
-        if stop:
-            break
+        steps.append(Step.of(tree, config.learning_rate, by_fold))
     model = Model(trees, config.learning_rate, start, list(features))
     if mode == "platt":
-        model.platt = platt_fit(state.select(F.col("oof").alias("score"), "y"))
-    state.unpersist()
-    unstage(staged)
+        model.platt = platt_fit(replay(staged, steps).select(F.col("oof").alias("score"), "y"))
+    _drop(staged)
     return model
 
 
-def _calibrate(work: DataFrame, tree: Tree, config: Config, prior: float) -> dict[tuple[int, int], float]:
-    """Replace the tree's leaf values by out-of-fold ones; returns the (leaf, fold) values."""
-    routed = route_aggregated(work, tree)
+def _drop(staged: DataFrame) -> None:
+    staged.unpersist()
+    unstage(staged)
+
+
+def _calibrate(work: DataFrame, tree: Tree, config: Config, prior: float) -> list[list[float]] | None:
+    """Replace the tree's leaf values by out-of-fold ones; with Platt scaling, returns the value of every (leaf, fold)."""
+    routed = work.select("y", "fold", "g", "h", reached(tree).alias("leaf"))
     with Scratch() as scratch:
         values = scratch.keep(calibration.fold_values(calibration.fold_statistics(routed), config.lam, prior))
         for r in calibration.calibrated_leaves(values).collect():
@@ -190,22 +184,11 @@ def _calibrate(work: DataFrame, tree: Tree, config: Config, prior: float) -> dic
         if config.null_leaf == "prior":
             tree.leaf_probs = [p if p > 0.0 else prior for p in tree.leaf_probs]
         if config.calibration != "platt":
-            return {}
-        return {(r["leaf"], r["fold"]): r["value"] for r in values.select("leaf", "fold", "value").collect()}
-
-
-def _advance(state: DataFrame, tree: Tree, config: Config, fold_values: dict[tuple[int, int], float] | None) -> DataFrame:
-    """Add the tree to every row's prediction (and out-of-fold prediction)."""
-    out = route_aggregated(state, tree)
-    lr = F.lit(config.learning_rate)
-    step = F.get(literal_array([float(v) for v in tree.leaf_values]), F.col("leaf"))
-    changed = {"pred": F.col("pred") + lr * step}
-    if fold_values is not None:
-        k = config.k_folds
-        flat = [fold_values.get((leaf, f), tree.leaf_values[leaf]) for leaf in range(tree.n_leaves) for f in range(k)]
-        own = F.get(literal_array([float(v) for v in flat]), F.col("leaf") * k + F.col("fold"))
-        changed["oof"] = F.col("oof") + lr * own
-    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in state.columns])
+            return None
+        by_fold = [[v] * config.k_folds for v in tree.leaf_values]
+        for r in values.select("leaf", "fold", "value").collect():
+            by_fold[r["leaf"]][r["fold"]] = r["value"]
+        return by_fold
 
 
 def held_out_scores(df: DataFrame, features: list[str], config: Config, label: str = "y", seed: int | None = None) -> DataFrame:
@@ -215,7 +198,7 @@ def held_out_scores(df: DataFrame, features: list[str], config: Config, label: s
     and bin their own rows.
     """
     extra = [config.time] if config.time else []
-    table = checked(stage(labelled(df, features, label, keep=extra)))
+    table = checked(stage(spread(labelled(df, features, label, keep=extra), "row_id")))
     folded = stage(assign_folds(table, config.k_folds, config.fold_by, seed if seed is not None else config.fold_seed, config.time))
     unstage(table)
     sampler = replace(config.sampler, quotas=()) if isinstance(config.sampler, Adaptive) else config.sampler

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 from typing import Protocol
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rareboost.functions.losses import positive
@@ -61,7 +64,11 @@ def complement(parent: DataFrame, child: DataFrame) -> DataFrame:
 
 
 class Splitter(Protocol):
-    """Turns the histogram cells of a level into one best split per node."""
+    """Turns the histogram cells of a level into one best split per node.
+
+    A splitter that also has ``chooser(lam, min_child_weight)`` is asked inside the
+    tasks, one (node, feature) histogram at a time.
+    """
 
     def best(self, cells: DataFrame, lam: float, min_child_weight: float) -> DataFrame: ...
 
@@ -107,6 +114,13 @@ class GainSplitter:
     min_positives: int = 0
     enforce_min_positives: bool = False
 
+    def chooser(self, lam: float, min_child_weight: float) -> Callable[[np.ndarray], tuple | None]:
+        """The same choice on one (node, feature) histogram as an array, for growth."""
+        from rareboost.operators.levels import best_cut
+
+        least = self.min_positives if self.enforce_min_positives else 0
+        return partial(best_cut, lam=lam, min_child_weight=min_child_weight, purity_weight=self.purity_weight, min_positives=least)
+
     def best(self, cells: DataFrame, lam: float, min_child_weight: float) -> DataFrame:
         cand = candidates(cells, lam, min_child_weight)
         if self.enforce_min_positives:

@@ -5,14 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rareboost.operators import histogram
+from rareboost.operators import histogram, levels
 from rareboost.operators.binning import MAX_BINS, Binner
-
-
-# Share of rows in open nodes above which rows of finished nodes stay in the pass.
-MOSTLY_OPEN = 0.5
+from rareboost.session import Scratch
 
 
 @dataclass
@@ -55,9 +54,50 @@ def route_codes(df: DataFrame, tree: Tree, name: str = "leaf", values: list | No
     return df.withColumn(name, F.get(_leaf_lookup(tree, values), node_position(tree.nodes, tree.depth)))
 
 
-def route_aggregated(df: DataFrame, tree: Tree) -> DataFrame:
-    """``route_codes`` for results that are cached or aggregated before anything filters on the leaf."""
-    return walk(df, tree.nodes, tree.depth, "_at").withColumn("leaf", F.get(_leaf_lookup(tree), F.col("_at"))).drop("_at")
+def reached(tree: Tree) -> Column:
+    """Leaf by ``codes``, routed in numpy batches: a plan of constant size for any tree."""
+    routing, leaf = levels.Routing.of(tree.nodes, tree.depth), np.array([n.leaf for n in tree.nodes], np.int32)
+    return F.arrow_udf(lambda codes: pa.array(leaf[routing.position(levels.bin_matrix(codes))]), "int")(F.col("codes"))
+
+
+@dataclass(frozen=True)
+class Step:
+    """A finished tree as arrays: what it adds to a row's prediction, and by fold to its out-of-fold one."""
+
+    routing: levels.Routing
+    add: np.ndarray
+    add_by_fold: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, tree: Tree, rate: float, by_fold: list[list[float]] | None = None) -> "Step":
+        leaf = np.array([max(n.leaf, 0) for n in tree.nodes])
+        add = rate * np.array(tree.leaf_values, float)
+        return cls(levels.Routing.of(tree.nodes, tree.depth), add[leaf], None if by_fold is None else rate * np.array(by_fold, float)[leaf])
+
+
+def replay(df: DataFrame, steps: list[Step]) -> DataFrame:
+    """``pred`` (and ``oof``) after ``steps``, from rows with ``codes, pred`` (and ``fold, oof``).
+
+    One narrow pass, whose plan is the same however many trees there are; the
+    forest travels with the function, a few kilobytes a tree.
+    """
+    if not steps:
+        return df
+    folded = "oof" in df.columns
+
+    def run(codes: pa.Array, pred: pa.Array, oof: pa.Array, fold: pa.Array) -> pa.Array:
+        binned, new = levels.bin_matrix(codes), pred.to_numpy(zero_copy_only=False).copy()
+        other = oof.to_numpy(zero_copy_only=False).copy()
+        for step in steps:
+            at = step.routing.position(binned)
+            new += step.add[at]
+            if folded:
+                other += step.add_by_fold[at, fold.to_numpy(zero_copy_only=False)]
+        return pa.StructArray.from_arrays([pa.array(new), pa.array(other)], ["pred", "oof"])
+
+    extra = [F.col("oof"), F.col("fold").cast("int")] if folded else [F.col("pred"), F.lit(0)]
+    moved = df.withColumn("_new", F.arrow_udf(run, "struct<pred:double,oof:double>")(F.col("codes"), F.col("pred"), *extra))
+    return moved.select(*[F.col(f"_new.{c}").alias(c) if c in ("pred", "oof") else F.col(c) for c in df.columns])
 
 
 def _leaf_lookup(tree: Tree, values: list | None = None) -> Column:
@@ -97,19 +137,6 @@ def node_position(nodes: list[Node], depth: int) -> Column:
     return F.aggregate(F.expr(f"sequence(1, {depth})"), F.lit(0), lambda at, _: down(at))
 
 
-def walk(df: DataFrame, nodes: list[Node], depth: int, name: str) -> DataFrame:
-    """The same as one projection per level, all inside generated code and about twice as fast.
-
-    Nothing may filter on the column before it is cached or aggregated: a filter
-    pushed through the projections would repeat them exponentially.
-    """
-    out = df.withColumn(name, F.lit(0))
-    down = _step(nodes)
-    for _ in range(depth if len(nodes) > 1 else 0):
-        out = out.withColumn(name, down(F.col(name)))
-    return out
-
-
 @dataclass(frozen=True)
 class GrowthLimits:
     max_depth: int = 6
@@ -124,48 +151,62 @@ def grow(
     limits: GrowthLimits,
     splitter: histogram.Splitter | None = None,
     only: list[int] | None = None,
+    tasks: int | None = None,
 ) -> Tree:
     """Grow one tree from sampled rows with ``codes, y, g, h, ipc_w``.
 
-    All open nodes of a level share one histogram aggregation; one split record
-    per node returns to the driver (at most 2^depth rows). Nodes do not influence
-    one another, so the tree equals the depth-first one.
+    All open nodes of a level share one pass, which reads the rows of each split's
+    smaller child only; the larger one is its parent's histogram minus that. One
+    record per (node, feature) returns to the driver. Nodes do not influence one
+    another, so the tree equals the depth-first one.
     """
     splitter = splitter or histogram.GainSplitter()
-    root = histogram.weighted_sums(rows).collect()[0]
+    features = list(range(len(binner.features))) if only is None else only
+    choose = splitter.chooser(limits.lam, limits.min_child_weight) if hasattr(splitter, "chooser") else None
     nodes = [Node()]
-    stats = {0: (root["sum_g"] or 0.0, root["sum_h"] or 0.0, root["cnt"])}
-    open_ = [0]
-    for depth in range(limits.max_depth):
-        open_ = [
-            i for i in open_
-            if stats[i][2] >= max(limits.min_samples_leaf, 2) and stats[i][1] >= limits.min_child_weight
-        ]
-        if not open_:
-            break
-        drawn = sum(stats[i][2] for i in open_)
-        if drawn < MOSTLY_OPEN * root["cnt"]:
-            # Rows of finished nodes are dropped before the explode when they are many.
-            is_open = literal_array([int(i in open_) for i in range(len(nodes))])
-            at = rows.withColumn("node", node_position(nodes, depth)).where(F.get(is_open, F.col("node")) == 1)
-        else:
-            at = walk(rows, nodes, depth, "node")
-        cells = histogram.build(at, len(binner.features), only)
-        found = [s for s in splitter.best(cells, limits.lam, limits.min_child_weight).collect() if s["node"] in open_]
-        grown = []
-        for s in sorted(found, key=lambda r: r["node"]):
-            if s["nl"] < limits.min_samples_leaf or s["nr"] < limits.min_samples_leaf:
-                continue
-            left = len(nodes)
-            nodes[s["node"]] = Node(s["feature"], s["bin"], binner.uppers[s["feature"]][s["bin"]], left)
-            nodes += [Node(), Node()]
-            stats[left] = (s["gl"], s["hl"], s["nl"])
-            stats[left + 1] = (s["gr"], s["hr"], s["nr"])
-            grown += [left, left + 1]
-        open_ = grown
+    if not features:
+        root = histogram.weighted_sums(rows).collect()[0]
+        return _with_leaves(nodes, {0: (root["sum_g"] or 0.0, root["sum_h"] or 0.0, root["cnt"])}, limits.lam)
+    stats = {0: (0.0, 0.0, 0)}
+    plan, cells = [levels.Children(0, 0, -1)], None
+    with Scratch() as scratch:
+        for depth in range(max(limits.max_depth, 1)):
+            level = levels.level_cells(rows, cells, levels.Routing.of(nodes, depth), plan, features, choose, tasks)
+            cells = scratch.keep(level)
+            found = levels.records(cells)
+            if depth == 0 and found:
+                stats[0] = tuple(next(r for r in found if r["feature"] == features[0])[m] for m in ("g", "h", "n"))
+            best = _best_per_node(found) if choose else splitter.best(levels.as_cells(cells), limits.lam, limits.min_child_weight).collect()
+            open_ = {c for p in plan for c in (p.read, p.other) if c >= 0 and _is_open(stats[c], limits)}
+            plan = []
+            for s in sorted((s for s in best if s["node"] in open_), key=lambda r: r["node"]):
+                if depth >= limits.max_depth or s["nl"] < limits.min_samples_leaf or s["nr"] < limits.min_samples_leaf:
+                    continue
+                left = len(nodes)
+                nodes[s["node"]] = Node(s["feature"], s["bin"], binner.uppers[s["feature"]][s["bin"]], left)
+                nodes += [Node(), Node()]
+                stats[left] = (s["gl"], s["hl"], s["nl"])
+                stats[left + 1] = (s["gr"], s["hr"], s["nr"])
+                if _is_open(stats[left], limits) or _is_open(stats[left + 1], limits):
+                    small = left if s["nl"] <= s["nr"] else left + 1
+                    plan.append(levels.Children(s["node"], small, 2 * left + 1 - small))
+            if not plan:
+                break
     return _with_leaves(nodes, stats, limits.lam)
 
 
+def _is_open(stats: tuple[float, float, int], limits: GrowthLimits) -> bool:
+    return stats[2] >= max(limits.min_samples_leaf, 2) and stats[1] >= limits.min_child_weight
+
+
+def _best_per_node(found: list) -> list:
+    """The best record of every node; of equal scores the lowest feature."""
+    best: dict[int, object] = {}
+    for r in sorted((r for r in found if r["bin"] is not None), key=lambda r: (r["node"], -r["score"], r["feature"])):
+        best.setdefault(r["node"], r)
+    return list(best.values())
+
+
 def _with_leaves(nodes: list[Node], stats: dict[int, tuple[float, float, int]], lam: float) -> Tree:
     """Number the leaves from left to right and set their Newton values."""
     tree = Tree(nodes)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rareboost.functions.hashing import HASH_HEX_DIGITS, HASH_SPAN, row_uniform
 from rareboost.functions.losses import sigmoid
+from rareboost.session import spread
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice", "o_totalprice"]
 N_BINS = 32
@@ -31,7 +32,10 @@ _Y0 = "l_extendedprice * (1 - l_discount) >= 94000"
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with part and order features, segments, time and label ``y``."""
-    li = read(spark, sf_dir, "lineitem").select(
+    table = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"
+    )
+    li = spread(table, "l_orderkey", "l_partkey").select(
         F.expr(_ROW_ID.format(day="date_format(l_shipdate, 'yyyyMMdd')")).alias("row_id"),
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         F.col("l_shipdate").alias("ts"),

@@ -50,6 +50,17 @@ def stage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a table that lies in fewer files than there are cores out to all of them, by ``keys``.
+
+    A file is often one row group, which a single task reads; what is computed and
+    staged from it would stay in that task. Tables of many files are left as they
+    are, so nothing large is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
 def unstage(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     path = getattr(df, "_staged_path", None)

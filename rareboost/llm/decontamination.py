@@ -180,11 +180,11 @@ def contamination(
 ) -> DataFrame:
     """``columns`` of the documents (all by default) with n_words, n_hit, n_items, items_sha256 and contaminated."""
     columns = docs.columns if columns is None else columns
-    taken = {f.name.lower() for f in RESULT} | {"_hit", "_found"}
+    taken = {f.name.lower() for f in RESULT}
     kept = [c for c in columns if c.lower() not in taken]
-    fields = {f.name: f for f in docs.schema}
-    # The text travels last, under a name of its own, and is dropped by the last pass.
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_scanned"))
+    # The caller's columns travel under numbers and the text last, so that working columns never meet them.
+    fields = [T.StructField(f"_{k}", docs.schema[c].dataType) for k, c in enumerate(kept)]
+    out = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(kept)], F.col(f"`{text}`").alias("_scanned"))
     spark = docs.sparkSession
     todo = list(_shared(spark, blocks(benchmark, item, text, block_words)))
     n = len(kept)
@@ -192,9 +192,9 @@ def contamination(
         last = k == len(todo) - 1
         keep = list(range(n if last else n + 1))
         added = list(RESULT) if last else [T.StructField("_scanned", T.StringType()), *STATE]
-        schema = T.StructType([*[fields[c] for c in kept], *added])
+        schema = T.StructType([*fields, *added])
         out = out.mapInArrow(_pass(block, n, n + 1 if k else None, last, keep, [f.name for f in schema]), schema)
-    return out
+    return out.toDF(*kept, *[f.name for f in RESULT])
 
 
 def _shared(spark, found: Iterator[Block]) -> Iterator:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rareboost.functions.ranking import global_rank, running_sums
-from rareboost.llm.columns import hash56, word_count
+from rareboost.llm.columns import ROW, hash56, unpacked, word_count
 from rareboost.session import stage, unstage
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2
@@ -90,9 +90,9 @@ def mixed(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text:
 
 def apply_plan(docs: DataFrame, chosen: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     new = ("size", "source_size", "target", "times", "taken")
-    kept = [c for c in docs.columns if c.lower() not in new and c not in UNIT]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], *_unit(key, source, text))
-    return rows.join(chosen, UNIT).withColumn("taken", F.col("times") * F.col("size")).drop(*UNIT)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW), *_unit(key, source, text))
+    found = rows.join(chosen, UNIT)
+    return unpacked(found, docs.columns, {c: F.col(c) for c in new[:-1]} | {"taken": F.col("times") * F.col("size")})
 
 
 def draw(docs: DataFrame, **names: str) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rareboost.llm import setsketch as ss
 from rareboost.llm import textbytes as tb
 from rareboost.llm.components import connected_components
+from rareboost.llm.columns import ROW, field, packed, unpacked
 from rareboost.session import stage, unstage
 
 SHINGLE, BLOCK = 5, 1024
@@ -343,12 +344,12 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     """The rows of ``docs`` of which one per component is left; of rows that agree in id and text one stays."""
     found = near_duplicates(docs, key=key, text=text).where(F.col(key).isNotNull())
     lost = stage(found.where(~F.col("kept")).select(F.col(key).alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    named = docs.withColumns({"_id": F.col(key).cast("long"), "_hash": F.xxhash64(text)})
+    # The rows travel packed, so that working columns never meet the caller's.
+    named = packed(docs).select(ROW, field(key).cast("long").alias("_id"), F.xxhash64(field(text)).alias("_hash"))
     left = named.join(lost, ["_id", "_hash"], "left_anti")
     again = found.where("kept").groupBy(key, "text_hash").count().where("count > 1")
-    if again.isEmpty():
-        return left.select(*[F.col(f"`{c}`") for c in docs.columns])
-    # Repeated rows: numbered within id and text, which only rows that agree in both share.
-    number = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
-    once = left.withColumn("_number", F.when(F.col("_id").isNull(), 1).otherwise(number)).where("_number = 1")
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not again.isEmpty():
+        # Repeated rows: numbered within id and text, which only rows that agree in both share.
+        number = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
+        left = left.withColumn("_number", F.when(F.col("_id").isNull(), 1).otherwise(number)).where("_number = 1")
+    return unpacked(left, docs.columns, {})

@@ -117,10 +117,21 @@ def write_warc(pages: DataFrame, path: str, *, key: str = "page_id", payload: st
     rendered.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
+def _inflated(data: bytes) -> bytes:
+    """All members of a gzip file; archives often hold one per record."""
+    parts = []
+    while data.strip(b"\0"):
+        unzip = zlib.decompressobj(31)
+        parts.append(unzip.decompress(data))
+        if not unzip.eof:
+            raise ValueError("the gzip stream ends early")
+        data = unzip.unused_data
+    return b"".join(parts)
+
+
 def _parse(name: str, data: bytes) -> Iterator[dict]:
     """Records of one archive, by their lengths."""
-    unzip = zlib.decompressobj(31) if name.endswith(".gz") else None
-    data = data if unzip is None else unzip.decompress(data)
+    data = _inflated(data) if name.endswith(".gz") else data
     at = 0
     while at < len(data):
         end = data.index(END.encode(), at)
@@ -132,16 +143,16 @@ def _parse(name: str, data: bytes) -> Iterator[dict]:
         kind, bare = head["WARC-Type"], lambda k: head[k].strip("<>") if k in head else None
         row = {
             "record_id": bare("WARC-Record-ID"), "kind": kind, "concurrent_to": bare("WARC-Concurrent-To"), "refers_to": bare("WARC-Refers-To"),
-            "date": head["WARC-Date"], "uri": _plain(head["WARC-Target-URI"]) if "WARC-Target-URI" in head else None, "page_id": None,
+            "date": head.get("WARC-Date"), "uri": _plain(head["WARC-Target-URI"]) if "WARC-Target-URI" in head else None, "page_id": None,
             "payload_bytes": None, "payload_digest": None, "payload": None,
         }
         if kind == "response":
             payload = block[block.index(END.encode()) + 4 :]
             row |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": digest32(payload)}
-            if f"sha1:{row['payload_digest']}" != head["WARC-Payload-Digest"]:
+            if head.get("WARC-Payload-Digest", "").startswith("sha1:") and f"sha1:{row['payload_digest']}" != head["WARC-Payload-Digest"]:
                 raise ValueError(f"{name}: payload of {row['record_id']} does not have its digest")
         elif kind == "revisit":
-            row["payload_digest"] = head["WARC-Payload-Digest"].removeprefix("sha1:")
+            row["payload_digest"] = head["WARC-Payload-Digest"].removeprefix("sha1:") if "WARC-Payload-Digest" in head else None
         elif kind == "metadata":
             fields = dict(line.split(": ", 1) for line in block.decode().split("\r\n") if ": " in line)
             row["page_id"] = int(fields["page-id"]) if "page-id" in fields else None
@@ -168,7 +179,7 @@ SCHEMA = pa.schema([
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row per record of the archives in a folder; without payloads these are digested and left behind."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,txt.gz,warc,warc.gz}").load(path)
     return files.select("path", "content").mapInArrow(_reader(with_payload), RECORD)
 
 

@@ -75,3 +75,16 @@ def test_shards_are_even(steps):
     sizes = [sum(s == k for s, _ in got) for k in range(16)]
     assert max(sizes) - min(sizes) <= 1 and max(slot for _, slot in got) == math.ceil(n / 16) - 1
     assert rows(steps[5], "doc_id", "text") == rows(steps[4], "doc_id", "text")
+
+
+def test_working_names_of_the_caller_survive(spark):
+    """Columns named like working columns pass through deduplication, decontamination and mixing unchanged."""
+    from rareboost.llm import decontamination, mixing, neardup
+
+    names = ["_id", "_hash", "_number", "_hit", "_found", "_src", "_none", "_text", "_row", "_scanned", "_0"]
+    docs = [(i, f"word{i} " * (3 + i), "s", *[f"{n}-{i}" for n in names]) for i in range(6)]
+    df = spark.createDataFrame([*docs, docs[0]], ["doc_id", "text", "source", *names])
+    bench = spark.createDataFrame([("x", "some other words")], "item_id string, text string")
+    assert sorted(map(tuple, neardup.deduplicated(df).select(df.columns).collect())) == docs
+    for out in (decontamination.contamination(df, bench), mixing.mixed(df), mixing.draw(df)):
+        assert set(map(tuple, out.select(df.columns).collect())) == set(docs)

@@ -47,3 +47,23 @@ def test_captures_are_whole(spark, tmp_path):
     assert bytes(long[0]) == b"y" * 400_000
     archives = list((tmp_path / "w").glob("*.gz"))
     assert len(archives) > 3 and all(gzip.open(a).read()[:8] in (b"WARC/1.1", b"") for a in archives)
+
+
+def test_archives_of_one_member_a_record(spark, tmp_path):
+    """The usual layout of archives: every record is a gzip member of its own, in a .warc.gz."""
+    records = [
+        warc._record(kind, f"urn:x:{k}", [("WARC-Target-URI", "http://a/")], block)
+        for k, (kind, block) in enumerate([("warcinfo", b"software: x"), ("response", b"HTTP/1.1 200 OK\r\n\r\n" + b"body" * 9000), ("request", b"GET / HTTP/1.1\r\n\r\n")])
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r + b"\r\n\r\n") for r in records))
+    (tmp_path / "b.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in records))
+    (tmp_path / "notes.md").write_text("no archive")
+    got = warc.read_records(spark, str(tmp_path)).collect()
+    assert sorted(r["kind"] for r in got) == sorted(["warcinfo", "response", "request"] * 2)
+    assert {r["payload_bytes"] for r in got if r["kind"] == "response"} == {36_000}
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(records[1])[:-20])
+    try:
+        warc.read_records(spark, str(tmp_path)).collect()
+        raise AssertionError("a cut archive was read without a word")
+    except Exception as e:  # noqa: BLE001
+        assert "ends early" in str(e)

@@ -24,10 +24,9 @@ not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
@@ -41,37 +40,39 @@ HOT_PAIRS = 4096
 _SLICE = 1 << 20
 
 
-def group_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Numbers of A and B tokens up to the end of every group; both lists of byte ends rise and end alike."""
-    out: list[tuple[int, int]] = []
+def group_runs(a: list[int], b: list[int]) -> list[tuple[int, int, int, int, bool]]:
+    """Stretches ``(from, to, from, to, one to one)`` of A and B tokens; both lists of byte ends rise and end alike.
+
+    Every token of a one-to-one stretch is a group with its opposite; any other stretch is one group.
+    """
+    out: list[tuple[int, int, int, int, bool]] = []
     i = j = 0
     n, m = len(a), len(b)
     while i < n and j < m:
-        shift = j - i
-        # Jump the one-to-one stretch that starts here.
-        step = 1
+        start, shift, step = i, j - i, 1
+        # Jump the one-to-one stretch that starts here: longer and longer, then the rest by halving.
         while i < n and a[i : i + step] == b[i + shift : i + shift + step]:
-            end = min(i + step, n)
-            out += zip(range(i + 1, end + 1), range(i + 1 + shift, end + 1 + shift))
-            i = end
+            i += step
             step *= 2
+        i = min(i, n)
         while step > 1 and i < n:
             step //= 2
             if a[i : i + step] == b[i + shift : i + shift + step]:
-                end = min(i + step, n)
-                out += zip(range(i + 1, end + 1), range(i + 1 + shift, end + 1 + shift))
-                i = end
-        j = i + shift
+                i = min(i + step, n)
+        if i > start:
+            out.append((start, i, start + shift, i + shift, True))
+            j = i + shift
         if i >= n or j >= m:
             break
         # An irregular group: the side whose token ends first goes on.
+        i0, j0 = i, j
         while a[i] != b[j]:
             if a[i] < b[j]:
                 i += 1
             else:
                 j += 1
         i, j = i + 1, j + 1
-        out.append((i, j))
+        out.append((i0, i, j0, j, False))
     return out
 
 
@@ -81,6 +82,7 @@ class Aligner:
     def __init__(self, folder: str, file_a: str, file_b: str) -> None:
         self.a = tokenizers.load("byte", os.path.join(folder, file_a))
         self.b = tokenizers.load("piece", os.path.join(folder, file_b))
+        self._size_a, self._size_b = (np.array([len(t) for t in x.tokens], np.int64) for x in (self.a, self.b))
         self._text_a = [str(i) for i in range(len(self.a.tokens))]
         self._text_b = [str(i) for i in range(len(self.b.tokens))]
 
@@ -94,35 +96,39 @@ class Aligner:
             return [], []
         return a, b
 
-    def align(self, text: str | None) -> tuple[int, int, int, str, Counter]:
-        """Numbers of A tokens, B tokens and groups, the groups as text, and the links per id pair."""
+    def align(self, text: str | None) -> tuple[int, int, int, str, tuple[np.ndarray, np.ndarray]]:
+        """Numbers of A tokens, B tokens and groups, the groups as text, and the linked id pairs (A in the upper half) with counts."""
         a, b = self.tokens(text)
-        ends = group_ends(
-            list(accumulate(map(len, map(self.a.tokens.__getitem__, a)))), list(accumulate(map(len, map(self.b.tokens.__getitem__, b))))
-        )
-        links = Counter([(a[i - 1], b[j - 1]) for i, j in ends])
+        ends_a, ends_b = self._size_a[np.array(a, np.int64)].cumsum(), self._size_b[np.array(b, np.int64)].cumsum()
+        runs = group_runs(ends_a.tolist(), ends_b.tolist())
         say_a, say_b = [self._text_a[x] for x in a], [self._text_b[x] for x in b]
-        parts, i0, j0 = [], 0, 0
-        for i, j in ends:
-            parts.append(f"{say_a[i0] if i - i0 == 1 else ','.join(say_a[i0:i])}|{say_b[j0] if j - j0 == 1 else ','.join(say_b[j0:j])}")
-            i0, j0 = i, j
-        return len(a), len(b), len(ends), ";".join(parts), links
+        groups: list[str] = []
+        last_a: list[int] = []
+        last_b: list[int] = []
+        for i0, i1, j0, j1, single in runs:
+            if single:
+                groups += [f"{x}|{y}" for x, y in zip(say_a[i0:i1], say_b[j0:j1])]
+                last_a += a[i0:i1]
+                last_b += b[j0:j1]
+            else:
+                groups.append(f"{','.join(say_a[i0:i1])}|{','.join(say_b[j0:j1])}")
+                last_a.append(a[i1 - 1])
+                last_b.append(b[j1 - 1])
+        links = np.unique(np.array(last_a, np.int64) << 32 | np.array(last_b, np.int64), return_counts=True)
+        return len(a), len(b), len(groups), ";".join(groups), links
 
 
 _LINK = T.StructType([T.StructField("a_id", T.IntegerType()), T.StructField("b_id", T.IntegerType()), T.StructField("n", T.LongType())])
 
 
 def _record(rows: list[tuple], keys: pa.Array, names: list[str]) -> pa.RecordBatch:
-    offsets, a, b, n = [0], [], [], []
-    for *_, links in rows:
-        a += [x for x, _ in links]
-        b += [y for _, y in links]
-        n += links.values()
-        offsets.append(len(a))
-    items = pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(n, pa.int64())], names=["a_id", "b_id", "n"])
+    pairs, n = (np.concatenate(x) for x in zip(*[r[4] for r in rows]))
+    offsets = np.cumsum([0, *[len(r[4][0]) for r in rows]]).astype(np.int32)
+    ids = [pa.array(x.astype(np.int32)) for x in (pairs >> 32, pairs & 0xFFFFFFFF)]
+    items = pa.StructArray.from_arrays([*ids, pa.array(n.astype(np.int64))], names=["a_id", "b_id", "n"])
     counts = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
     text = pa.array([r[3] for r in rows], pa.string())
-    return pa.RecordBatch.from_arrays([keys, *counts, text, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)], names=names)
+    return pa.RecordBatch.from_arrays([keys, *counts, text, pa.ListArray.from_arrays(pa.array(offsets), items)], names=names)
 
 
 def aligned(

@@ -18,7 +18,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Texts that every Unicode version splits alike, without long runs of white space: the rank form of A encodes them
 #: several times faster and with equal ids; all other texts go through the JSON file's own tokenizer.
 _PLAIN = re.compile(r"(?:[\x00-ɏ‐-‧‰-‾€])*")
-_LONG_RUN = re.compile(r"\s{1000}|[^\s]{20000}")
+_LONG_RUN = re.compile(r"\s{1000}")
+
+
+def is_plain(text: str) -> bool:
+    return bool(_PLAIN.fullmatch(text)) and not _LONG_RUN.search(text)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -46,7 +50,7 @@ class ByteLevel:
         self._own.encode_special_tokens = True
 
     def ids(self, text: str) -> list[int]:
-        if _PLAIN.fullmatch(text) and not _LONG_RUN.search(text):
+        if is_plain(text):
             return self._ranks.encode_ordinary(text)
         return self._own.encode(text, add_special_tokens=False).ids
 

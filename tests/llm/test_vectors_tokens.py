@@ -268,8 +268,11 @@ def test_groups_of_any_two_cuts():
         if rng.random() < 0.3:
             cuts[1] = cuts[0]
         both = sorted(set(cuts[0]) & set(cuts[1]))
-        assert alignment.group_ends(*cuts) == [(cuts[0].index(e) + 1, cuts[1].index(e) + 1) for e in both]
-    assert alignment.group_ends([], []) == []
+        ends = []
+        for i0, i1, j0, j1, single in alignment.group_runs(*cuts):
+            ends += zip(range(i0 + 1, i1 + 1), range(j0 + 1, j1 + 1)) if single else [(i1, j1)]
+        assert ends == [(cuts[0].index(e) + 1, cuts[1].index(e) + 1) for e in both]
+    assert alignment.group_runs([], []) == []
 
 
 def test_both_forms_of_the_byte_tokenizer_agree(sf):

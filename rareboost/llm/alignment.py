@@ -101,21 +101,26 @@ class Aligner:
         a, b = self.tokens(text)
         ends_a, ends_b = self._size_a[np.array(a, np.int64)].cumsum(), self._size_b[np.array(b, np.int64)].cumsum()
         runs = group_runs(ends_a.tolist(), ends_b.tolist())
-        say_a, say_b = [self._text_a[x] for x in a], [self._text_b[x] for x in b]
-        groups: list[str] = []
+        say_a, say_b = list(map(self._text_a.__getitem__, a)), list(map(self._text_b.__getitem__, b))
+        # What each group says and its last tokens, side by side; whole stretches at a time.
+        of_a: list[str] = []
+        of_b: list[str] = []
         last_a: list[int] = []
         last_b: list[int] = []
         for i0, i1, j0, j1, single in runs:
             if single:
-                groups += [f"{x}|{y}" for x, y in zip(say_a[i0:i1], say_b[j0:j1])]
+                of_a += say_a[i0:i1]
+                of_b += say_b[j0:j1]
                 last_a += a[i0:i1]
                 last_b += b[j0:j1]
             else:
-                groups.append(f"{','.join(say_a[i0:i1])}|{','.join(say_b[j0:j1])}")
+                of_a.append(",".join(say_a[i0:i1]))
+                of_b.append(",".join(say_b[j0:j1]))
                 last_a.append(a[i1 - 1])
                 last_b.append(b[j1 - 1])
+        groups = ";".join(map("|".join, zip(of_a, of_b)))
         links = np.unique(np.array(last_a, np.int64) << 32 | np.array(last_b, np.int64), return_counts=True)
-        return len(a), len(b), len(groups), ";".join(groups), links
+        return len(a), len(b), len(of_a), groups, links
 
 
 _LINK = T.StructType([T.StructField("a_id", T.IntegerType()), T.StructField("b_id", T.IntegerType()), T.StructField("n", T.LongType())])

@@ -15,14 +15,15 @@ from functools import lru_cache
 FOLDER, FILE_A, FILE_B = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Fixed value: how the byte-level vocabulary splits text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts that every Unicode version splits alike, without long runs of white space: the rank form of A encodes them
+#: Texts that every Unicode version splits alike, without very long runs of white space: the rank form of A encodes them
 #: several times faster and with equal ids; all other texts go through the JSON file's own tokenizer.
 _PLAIN = re.compile(r"(?:[\x00-ɏ‐-‧‰-‾€])*")
 _LONG_RUN = re.compile(r"\s{1000}")
+LONG = 100_000
 
 
 def is_plain(text: str) -> bool:
-    return bool(_PLAIN.fullmatch(text)) and not _LONG_RUN.search(text)
+    return bool(_PLAIN.fullmatch(text)) and not (len(text) > LONG and _LONG_RUN.search(text))
 
 
 def _byte_letters() -> dict[str, int]:

@@ -16,8 +16,9 @@ measured size, and the shares are settled by a few sums over it.
 
 Edge cases: a null source is a source of its own; null texts and texts without
 words have size 0 and take none; rows that agree in id, source and text share
-one key and are taken or left together; an empty table gives no rows. Input
-columns named like a result column are replaced.
+one key, and where they straddle the edge of a budget as many of them are taken
+as come closest to it, in the order of a hash of the whole row; an empty table
+gives no rows. Input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -64,7 +65,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def plan(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", weight: Column | None = None, seed: int = 42) -> DataFrame:
-    """One staged row per distinct document: size, source_size, target and the times it is taken."""
+    """One staged row per distinct document: size, source_size, target and the times it is taken.
+
+    ``_part`` is 0, or the number of its equal rows that are taken once more than
+    ``times`` says; at most one document of a source has such a part.
+    """
     weight = quality_weight(F.col(text)) if weight is None else weight
     rows = docs.select(*_unit(key, source, text), word_count(F.col(text)).alias("size"), weight.alias("w"))
     units = stage(rows.groupBy(*UNIT).agg(F.first("size").alias("size"), F.first("w").alias("w"), F.count("*").alias("n")))
@@ -76,9 +81,14 @@ def plan(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text:
     placed = summed.join(targets, ["_src", "_none"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - F.col("_epochs") * F.col("source_size")
-    taken = F.col("_sum") - F.col("size") * F.col("n") / 2 <= rest
-    out = placed.withColumn("_epochs", epochs).withColumn("times", F.col("_epochs") + F.when(taken & (F.col("_epochs") < MOST), 1).otherwise(0))
-    staged = stage(out.select(*UNIT, "size", "source_size", "target", "times"))
+    # A row is taken if half of it fits; of n equal rows all are if half of the last one does.
+    fits = F.col("_sum") - F.col("size") / 2 <= rest
+    before = F.col("_sum") - F.col("size") * F.col("n")
+    part = F.floor((rest - before) / F.greatest("size", F.lit(1)) + 0.5).cast("long")
+    some = (F.col("size") > 0) & (F.col("n") > 1) & (F.col("_epochs") < MOST) & ~fits
+    out = placed.withColumn("_epochs", epochs).withColumn("times", F.col("_epochs") + F.when(fits & (F.col("_epochs") < MOST), 1).otherwise(0))
+    out = out.withColumn("_part", F.when(some, F.greatest(F.lit(0), F.least(part, F.col("n") - 1))).otherwise(0).cast("long"))
+    staged = stage(out.select(*UNIT, "size", "source_size", "target", "times", "_part"))
     unstage(units)
     return staged
 
@@ -92,6 +102,12 @@ def apply_plan(docs: DataFrame, chosen: DataFrame, *, key: str = "doc_id", sourc
     new = ("size", "source_size", "target", "times", "taken")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW), *_unit(key, source, text))
     found = rows.join(chosen, UNIT)
+    if not chosen.where("_part > 0").isEmpty():
+        # Equal rows at the edge of a budget are numbered; the salt, frozen by staging, spreads them over range blocks.
+        edge = stage(found.where("_part > 0").withColumn("_salt", F.monotonically_increasing_id()))
+        numbered = running_sums(edge, [F.xxhash64(F.to_json(ROW)), F.col("_salt")], {"_nth": F.lit(1)}, UNIT)
+        once_more = F.when(F.col("_nth") <= F.col("_part"), 1).otherwise(0)
+        found = found.where("_part = 0").unionByName(numbered.withColumn("times", F.col("times") + once_more).select(found.columns))
     return unpacked(found, docs.columns, {c: F.col(c) for c in new[:-1]} | {"taken": F.col("times") * F.col("size")})
 
 

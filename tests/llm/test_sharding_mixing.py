@@ -77,3 +77,22 @@ def test_draw_repeats_rows(docs):
     assert drawn.columns == docs.columns
     assert drawn.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] == plain
     assert mixing.draw(docs.where("false")).count() == 0
+
+
+def test_equal_rows_are_split_at_the_edge(spark):
+    """Equal rows are one document with one key; the budget still ends within one row of its target."""
+    same = [(1, "a b c d", "s", f"x{i % 3}") for i in range(100)]
+    other = [(2, "a b", "t", "y")] * 37 + [(3, "a b c", "t", None)] * 41 + [(4, None, "t", "y")] * 5 + [(None, "a", "u", "y")] * 60
+    df = spark.createDataFrame(same + other, "doc_id long, text string, source string, _part string")
+    got = mixing.mixed(df).toPandas()
+    assert list(got.columns) == ["doc_id", "text", "source", "_part", "size", "source_size", "target", "times", "taken"]
+    assert len(got) == len(same + other) and sorted(got["_part"].fillna("-")) == sorted((r[3] or "-") for r in same + other)
+    split = 0
+    for _, g in got.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= g["size"].max() and (g["taken"] <= 2 * g["size"]).all()
+        split += g.groupby("doc_id", dropna=False)["taken"].nunique().max() > 1
+    assert split >= 1
+    again = mixing.mixed(df.repartition(5)).toPandas()
+    key = lambda d: sorted(map(str, d[["doc_id", "source", "_part", "taken"]].itertuples(index=False, name=None)))
+    assert key(again) == key(got)
+    assert mixing.draw(df).count() == got["times"].where(got["size"] > 0, 0).sum()

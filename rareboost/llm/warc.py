@@ -45,9 +45,10 @@ def digest32(payload: bytes) -> str:
 
 
 def with_originals(pages: DataFrame, *, key: str, payload: str, least: int) -> DataFrame:
-    """Pages with ``original``: the id of the page that carries an equal payload, null where it is its own."""
+    """Pages with ``serial``, a number of the row, and ``original``: the id of the page that carries an equal payload, null where it is its own."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    named = pages.select(F.col(key).cast("long").alias("page_id"), F.col("url"), body.alias("payload"))
+    # Numbered where the rows are read, ahead of every shuffle: a task that runs again gives them the same numbers.
+    named = pages.select(F.col(key).cast("long").alias("page_id"), F.col("url"), body.alias("payload"), F.monotonically_increasing_id().alias("serial"))
     named = named.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
     keys = named.select("page_id", "sha", "n")
     # Only payloads that several pages carry; the planner broadcasts them by their measured size or splits a hot one.
@@ -108,11 +109,15 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_warc(pages: DataFrame, path: str, *, key: str = "page_id", payload: str = "html", least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write the archives of all pages to a new folder."""
+    """Write the archives of all pages to a new folder.
+
+    ``pages`` is read from files; a frame that shuffles is staged first, so that its
+    rows keep their numbers when a lost executor's tasks run again.
+    """
     rows = with_originals(pages, key=key, payload=payload, least=least)
     size = pages.agg(F.sum(F.octet_length(payload) + F.lit(1500))).first()[0] or 0
     # Dealt by a serial, so that archives are of even size whatever the order of the pages.
-    rows = rows.withColumn("serial", F.monotonically_increasing_id()).repartition(max(1, int(size // archive_bytes)), F.xxhash64("page_id", "serial"))
+    rows = rows.repartition(max(1, int(size // archive_bytes)), F.xxhash64("page_id", "serial"))
     rendered = rows.select("serial", "page_id", "url", "payload", "original").mapInArrow(_render, "value string")
     rendered.write.option("lineSep", END).option("compression", "gzip").text(path)
 

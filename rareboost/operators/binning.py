@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rareboost.functions.ranking import global_rank
+from rareboost.functions.quantiles import around, values_at_ranks
 
 # Fixed value: bins of one feature, so that a code is feature * 256 + bin.
 MAX_BINS = 256
@@ -31,24 +31,28 @@ def distinct_values(df: DataFrame, features: list[str]) -> DataFrame:
     return melt(df, features).where(is_finite(F.col("value"))).distinct()
 
 
+def _upper_ends(df: DataFrame, features: list[str], n_bins: int) -> dict[int, list[float]]:
+    """Upper end of every bin, for each feature that has values."""
+    if not 2 <= n_bins <= MAX_BINS:
+        raise ValueError(f"n_bins must be between 2 and {MAX_BINS}")
+    if not features:
+        return {}
+    # Ends of all bins but the last, rounded up to whole ranks.
+    ranks = lambda n: [((b + 1) * n - 1) // min(n_bins, n) + 1 for b in range(min(n_bins, n) - 1)]
+    guesses = around([(b + 1) / n_bins for b in range(n_bins - 1)])
+    found = values_at_ranks(distinct_values(df, features), ranks, guesses)
+    return {f: [*values, float("inf")] for f, (_, values) in found.items()}
+
+
 def cut_points(df: DataFrame, features: list[str], n_bins: int) -> DataFrame:
     """Threshold table ``(feature, bin, upper)``; the last bin of a feature is open.
 
     With ``n`` distinct finite values and ``A = min(n_bins, n)`` bins, bin ``b``
-    ends at distinct value number ``ceil((b + 1) n / A)``. Values are ranked over
-    range blocks of (feature, value), so a feature with billions of distinct
-    values is spread over many tasks.
+    ends at distinct value number ``ceil((b + 1) n / A)``. All ranks of all
+    features are found together, after the one shuffle that makes values distinct.
     """
-    if not 2 <= n_bins <= MAX_BINS:
-        raise ValueError(f"n_bins must be between 2 and {MAX_BINS}")
-    ranked = global_rank(distinct_values(df, features), [F.col("feature"), F.col("value")])
-    # One row per feature.
-    sizes = F.broadcast(ranked.groupBy("feature").agg(F.count("*").alias("n"), F.min("rank").alias("first")))
-    a = F.least(F.lit(n_bins), F.col("n"))
-    placed = ranked.join(sizes, "feature").withColumn("bin", F.floor((F.col("rank") - F.col("first")) * a / F.col("n")).cast("int"))
-    cuts = placed.groupBy("feature", "bin").agg(F.max("value").alias("upper"), F.max(a).alias("bins"))
-    last = F.col("bin") == F.col("bins") - 1
-    return cuts.select("feature", "bin", F.when(last, F.lit(float("inf"))).otherwise(F.col("upper")).alias("upper"))
+    rows = [(f, b, u) for f, upper in sorted(_upper_ends(df, features, n_bins).items()) for b, u in enumerate(upper)]
+    return df.sparkSession.createDataFrame(rows, "feature int, bin int, upper double")
 
 
 @dataclass(frozen=True)
@@ -99,11 +103,8 @@ class Binner:
 
 def fit_binner(df: DataFrame, features: list[str], n_bins: int) -> Binner:
     """Collects at most 256 thresholds per feature; a feature without values gets one bin."""
-    uppers: list[list[float]] = [[float("inf")] for _ in features]
-    rows = cut_points(df, features, n_bins).groupBy("feature").agg(F.sort_array(F.collect_list("upper")).alias("u")).collect()
-    for r in rows:
-        uppers[r["feature"]] = list(r["u"])
-    return Binner(list(features), uppers)
+    uppers = _upper_ends(df, features, n_bins)
+    return Binner(list(features), [uppers.get(i, [float("inf")]) for i in range(len(features))])
 
 
 def feature_codes(codes: str = "codes", only: list[int] | None = None) -> Column:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rareboost.functions import losses
+from rareboost.functions import losses, quantiles
 from rareboost.functions.hashing import HASH_SPAN, row_hash, row_uniform
 from rareboost.functions.ranking import global_rank, running_sums
 from rareboost.functions.selection import head_filter, order_cuts
@@ -163,3 +163,18 @@ def test_init_score_without_both_classes_is_zero(spark):
         assert losses.class_prior(df).select(losses.init_score(F.col("prior"))).collect()[0][0] == want
     assert losses.class_prior(frame(spark, [], "y int")).collect()[0]["prior"] == 0.0
     assert np.isfinite(losses.class_prior(frame(spark, [(1,), (0,)], "y int")).collect()[0]["prior"])
+
+
+@pytest.mark.parametrize("limit", [1 << 16, 40])
+def test_many_ranks_of_many_features(spark, monkeypatch, limit):
+    """Skewed, tiny and single-valued features; a small limit cuts cells again and again."""
+    monkeypatch.setattr(quantiles, "SORTED", limit)
+    monkeypatch.setattr(quantiles, "ACCURACY", 100 if limit == 40 else 10_000)
+    rng = np.random.default_rng(5)
+    values = {0: np.exp(rng.normal(0, 8, 9000)), 3: rng.normal(0, 1e-9, 5000), 4: np.array([7.0]), 7: np.r_[np.arange(300.0), 1e300, -1e300]}
+    values = {f: np.unique(v) for f, v in values.items()}
+    df = spark.createDataFrame([(f, float(x)) for f, v in values.items() for x in v], "feature int, value double").repartition(6)
+    ranks = lambda n: sorted({1, n, (n + 1) // 2, *[max(1, k * n // 37) for k in range(1, 37)]})
+    found = quantiles.values_at_ranks(df, ranks, quantiles.around([k / 37 for k in range(1, 37)]))
+    assert found == {f: (len(v), [v[r - 1] for r in ranks(len(v))]) for f, v in values.items()}
+    assert quantiles.values_at_ranks(df.where("false"), ranks, [0.5]) == {}

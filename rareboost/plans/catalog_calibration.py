@@ -18,7 +18,7 @@ from rareboost.plans.fixtures import (
     FEATURES, GRADIENTS_SQL, LINES_SQL, ONE_MODEL_SQL, gradients, hash_sql, lines, one_model, sigmoid_sql, uniform_sql,
 )
 from rareboost.plans.models import DEMO, DEMO_RAW
-from rareboost.plans.oracles import folds_sql, isotonic_apply_sql, isotonic_sql, leaf_table_sql, route_sql
+from rareboost.plans.oracles import folds_sql, held_out_sql, isotonic_apply_sql, isotonic_sql, leaf_table_sql, route_sql
 from rareboost.plans.registry import query
 from rareboost.session import stage
 
@@ -156,7 +156,7 @@ def _interpolated(scored: DataFrame, value) -> DataFrame:
     return scored.select("row_id", F.round(probability.isotonic_apply(value, points), 6).alias("prob"))
 
 
-@query("c11_held_out_scores")
+@query("c11_held_out_scores", f"WITH {held_out_sql()} SELECT row_id, CAST(y AS DOUBLE) AS y, fold, round(score, 6) AS score FROM held_out")
 def c11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(held_out_scores(stage(lines(spark, sf_dir)), FEATURES, DEMO_RAW))
 

@@ -151,7 +151,12 @@ def boost_sql(rounds: int = 2, depth: int = DEMO_DEPTH, calibrate: bool = True)
     parts = [LINES_SQL]
     parts.append(folds_sql("lines", DEMO_K))
     parts.append(bins_sql("folded"))
-    parts.append("state0 AS MATERIALIZED (SELECT *, (SELECT ln(avg(y) / (1 - avg(y))) FROM lines) AS pred FROM binned)")
+    return ",\n".join([*parts, *rounds_sql(rounds, depth, calibrate)])
+
+
+def rounds_sql(rounds: int = 2, depth: int = DEMO_DEPTH, calibrate: bool = True) -> list[str]:
+    """CTEs ``state0`` to ``state{rounds}`` and ``t{r}_*`` that boost the rows of ``binned``."""
+    parts = ["state0 AS MATERIALIZED (SELECT *, (SELECT ln(avg(y) / (1 - avg(y))) FROM binned) AS pred FROM binned)"]
     for r in range(rounds):
         parts.append(
             f"work{r} AS MATERIALIZED (SELECT *, pr - y AS g, greatest(pr * (1 - pr), 1e-7) AS h, {1 / DEMO_RATE}e0 AS w "
@@ -170,7 +175,31 @@ def boost_sql(rounds: int = 2, depth: int = DEMO_DEPTH, calibrate: bool = True)
             f"state{r + 1} AS MATERIALIZED (SELECT q.* EXCLUDE (pred, pr, g, h, w, node), pred + {DEMO_LR}e0 * f.value AS pred, "
             f"f.leaf AS leaf{r}, f.value AS value{r}, f.prob AS prob{r} FROM routed{r} q JOIN t{r}_final f USING (node))"
         )
-    return ",\n".join(parts)
+    return parts
+
+
+def held_out_sql(rounds: int = 2, depth: int = DEMO_DEPTH, k: int = DEMO_K) -> str:
+    """CTEs ``folded`` and ``held_out`` (row_id, y, fold, score): each fold scored by an uncalibrated model of the other folds.
+
+    A fold's model lives in a nested WITH, so that all of them use the same names.
+    """
+    ends = ", ".join(f"list(upper ORDER BY bin) FILTER (feature = {i}) AS u{i}" for i in range(len(FEATURES)))
+    bins = ", ".join(f"len(list_filter(u{i}, lambda x: x < {f})) AS b{i}" for i, f in enumerate(FEATURES))
+    models = []
+    for fold in range(k):
+        parts = [
+            f"others AS MATERIALIZED (SELECT * FROM folded WHERE fold <> {fold})", bins_sql("others"), *rounds_sql(rounds, depth, False),
+            f"ends AS MATERIALIZED (SELECT {ends} FROM thr)",
+            f"held0 AS MATERIALIZED (SELECT row_id, y, fold, {bins}, (SELECT min(pred) FROM state0) AS score FROM folded, ends WHERE fold = {fold})",
+        ]
+        for r in range(rounds):
+            parts.append(route_sql(f"t{r}", f"held{r}", depth, f"reached{r}"))
+            parts.append(
+                f"held{r + 1} AS MATERIALIZED (SELECT q.* EXCLUDE (node, score), score + {DEMO_LR}e0 * f.value AS score "
+                f"FROM reached{r} q JOIN t{r}_final f USING (node))"
+            )
+        models.append(f"SELECT * FROM (WITH {', '.join(parts)} SELECT row_id, y, fold, score FROM held{rounds})")
+    return ",\n".join([LINES_SQL, folds_sql("lines", k), f"held_out AS MATERIALIZED ({' UNION ALL '.join(models)})"])
 
 
 def isotonic_sql(src: str, score: str, label: str = "y") -> str:

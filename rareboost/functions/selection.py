@@ -1,45 +1,89 @@
-"""Exact order statistics by narrowing brackets, without a global sort.
-
-A rank is located by counting rows in equal-width buckets of the key, stepping
-into the bucket that holds the rank, and repeating. Each pass is one scan with
-map-side combining; at most ``CELLS`` counters reach the driver, whatever the
-table size and however often a single key value occurs.
+"""Exact order statistics between sketched bounds, without a global sort.
+
+A mergeable quantile sketch guesses two bounds around every wanted rank. The next
+pass counts the rows at and between all bounds exactly, so a wrong guess costs a
+pass and never a wrong value; where the rows between two bounds are few, the same
+pass also returns their keys. Rows at a bound are counted apart from those between,
+so a crowd of equal keys leaves at once. Every pass is one scan with map-side
+combining that keeps about one row in 200 of a gap, whatever the distribution; the
+driver sees at most about ``READ`` counters and ``SALTS`` short grids per gap.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rareboost.session import Scratch
 
-CELLS = 4096
+#: Most keys that a pass returns to the driver, about.
+READ = 1 << 14
+#: Quantiles read from a sketch, and one over the sketch's relative rank error.
+GRID = 1000
+ACCURACY = 4000
+#: Sketches of a gap that are merged apart, so that no single task merges those of all others.
+SALTS = 32
+# One text instead of a literal per quantile, which would take longer to build than to compute.
+_SKETCH = f"percentile_approx(_near, array({', '.join(f'{i / GRID}D' for i in range(GRID + 1))}), {ACCURACY})"
+#: Share of a gap's rows between a wanted rank and its guessed bounds.
+SLACK = 2 / GRID + 2 / ACCURACY
+#: Gaps that share a pass.
+GAPS = 128
 #: More rows of one 56-bit hash than this are no accident.
 COLLISIONS = 1000
 
 
 @dataclass(frozen=True)
 class Cut:
-    """Key value at a rank, with the rows strictly below it and equal to it."""
+    """Key value at a rank, with the rows strictly below it and equal to it, and the marked rows up to and with it."""
 
     value: Any
     below: int
     equal: int
+    marked: int = 0
 
 
 @dataclass
-class _Bracket:
+class _Gap:
+    """Rows of a group strictly between ``lo`` and ``hi`` (None: no bound), and the bounds that cut them next.
+
+    ``close`` numbers the parts between bounds in which the ranks are expected;
+    ``expected`` is how many rows these have together.
+    """
+
     group: Any
-    lo: Any
-    hi: Any
-    below: int
-    count: int
     ranks: list[int]
+    lo: Any = None
+    hi: Any = None
+    below: int = 0
+    marked: int = 0
+    bounds: list = field(default_factory=list)
+    close: list[int] = field(default_factory=lambda: [0])
+    expected: float = math.inf
+
+    def cut_around(self, pairs: list[tuple[Any, Any]], expected: float) -> "_Gap":
+        self.bounds = sorted({v for pair in pairs for v in pair})
+        inside = [any(a <= x and y <= b for a, b in pairs) for x, y in zip(self.bounds, self.bounds[1:])]
+        self.close = [2 * i + 2 for i, here in enumerate(inside) if here]
+        self.expected = expected
+        return self
+
+    def slot(self, first: int) -> Column:
+        """Even: between bounds; odd: at a bound; NULL outside the gap."""
+        key = F.col("_key")
+        out = F
+        for i, b in enumerate(self.bounds):
+            out = out.when(key < F.lit(b), first + 2 * i).when(key <= F.lit(b), first + 2 * i + 1)
+        last = F.lit(first + 2 * len(self.bounds))
+        inside = out.otherwise(last) if self.bounds else last
+        limits = [key > F.lit(self.lo)] * (self.lo is not None) + [key < F.lit(self.hi)] * (self.hi is not None)
+        return F.when(reduce(lambda x, y: x & y, limits), inside) if limits else inside
 
 
 def _in_group(group: Column | None, value: Any) -> Column:
@@ -59,120 +103,207 @@ def _per_group(group: Column | None, values: dict[Any, Any]) -> Column:
     return F.coalesce(*[F.when(_in_group(group, g), F.lit(v)) for g, v in values.items()])
 
 
-def _bracket_id(brackets: list[_Bracket], group: Column | None) -> Column:
-    inside = [_in_group(group, b.group) & F.col("_key").between(F.lit(b.lo), F.lit(b.hi)) for b in brackets]
-    return F.coalesce(*[F.when(here, i) for i, here in enumerate(inside)])
-
-
 def order_cuts(
     df: DataFrame,
     key: Column,
     ranks: dict[Any, Callable[[int], list[int]]] | Callable[[int], list[int]],
     group: Column | None = None,
+    sizes: dict[Any, int] | None = None,
+    span: int | None = None,
 ) -> dict[Any, dict[int, Cut]]:
     """Exact ``Cut`` at the wanted 1-based ascending ranks, per group.
 
     ``ranks`` maps a group value to a function of the group's row count that
     returns the wanted ranks; without ``group`` pass the function itself and read
-    the result under ``None``. Rows with a NULL or NaN key have no rank.
+    the result under ``None``. Rows with a NULL or NaN key have no rank. Where a
+    group's row count is known and its keys are evenly spread over 0 to ``span``, as
+    hashes are, ``sizes`` and ``span`` spare the sketch.
     """
     wanted = ranks if isinstance(ranks, dict) else {None: ranks}
-    group_col = F.lit(None).cast("string") if group is None else group
-    keyed = df.select(key.alias("_key"), group_col.alias("_grp"))
+    known = {} if sizes is None or span is None else {g: sizes[g] for g in wanted}
     grp = None if group is None else F.col("_grp")
+    groups = list(wanted)
+    found: dict[Any, dict[int, Cut]] = {}
     with Scratch() as scratch:
+        rows = _keyed(df, key, group, None)
         # Cached before any filter, so that the key is computed once and not once per condition.
-        rows = scratch.keep(keyed).where("_key is not null")
-        if keyed.schema["_key"].dataType.typeName() in ("double", "float"):
-            rows = rows.where(~F.isnan("_key"))
-        if group is not None:
-            rows = rows.where(_any_group(grp, list(wanted)))
-        return _locate(rows, wanted, grp)
+        rows = rows if known else scratch.keep(rows)
+        ranked = rows.where("_key is not null")
+        for start in range(0, len(groups), GAPS):
+            some = {g: wanted[g] for g in groups[start : start + GAPS]}
+            found |= _locate(ranked if group is None else ranked.where(_any_group(grp, list(some))), some, grp, known, span)
+    return found
 
 
-def _locate(keyed: DataFrame, wanted: dict, grp: Column | None) -> dict[Any, dict[int, Cut]]:
-    spans = keyed.groupBy("_grp").agg(F.count("*").alias("n"), F.min("_key").alias("lo"), F.max("_key").alias("hi")).collect()
+def marked_cuts(df: DataFrame, key: Column, mark: Column, ranks: Callable[[int], list[int]]) -> tuple[dict[int, Cut], int, int]:
+    """Cuts of the whole table that also count marked rows; the marked and the unmarked rows, ranked or not."""
+    with Scratch() as scratch:
+        rows = scratch.keep(_keyed(df, key, None, mark))
+        totals: dict[bool, int] = {}
+        found = _locate(rows, {None: ranks}, None, {}, None, totals)
+        return found[None], totals.get(True, 0), totals.get(False, 0)
+
+
+def _keyed(df: DataFrame, key: Column, group: Column | None, mark: Column | None) -> DataFrame:
+    named = df.select(
+        key.alias("_key"),
+        (F.lit(None).cast("string") if group is None else group).alias("_grp"),
+        (F.lit(False) if mark is None else F.coalesce(mark, F.lit(False))).alias("_mark"),
+    )
+    if named.schema["_key"].dataType.typeName() in ("double", "float"):
+        named = named.withColumn("_key", F.when(~F.isnan("_key"), F.col("_key")))
+    return named
+
+
+def _locate(
+    rows: DataFrame, wanted: dict, grp: Column | None, known: dict[Any, int], span: int | None, totals: dict[bool, int] | None = None
+) -> dict[Any, dict[int, Cut]]:
     found: dict[Any, dict[int, Cut]] = {g: {} for g in wanted}
-    open_: list[_Bracket] = []
-    for s in spans:
-        want = sorted({r for r in wanted[s["_grp"]](s["n"]) if 1 <= r <= s["n"]})
-        if want:
-            open_.append(_Bracket(s["_grp"], s["lo"], s["hi"], 0, s["n"], want))
+    open_ = [_Gap(g, []) for g in wanted]
+    for gap in open_ if known else []:
+        gap.ranks = _valid(wanted[gap.group], known[gap.group])
+        spread = {r: _evenly(r, known[gap.group], span) for r in gap.ranks}
+        gap.cut_around(list(spread.values()), sum((b - a) / span * known[gap.group] + 1 for a, b in spread.values()))
+    open_ = [g for g in open_ if g.ranks] if known else open_
+    sized = bool(known)
     while open_:
-        pending = []
-        for b in open_:
-            if b.lo == b.hi:
-                found[b.group].update({r: Cut(b.lo, b.below, b.count) for r in b.ranks})
-            else:
-                pending.append(b)
-        open_ = []
-        # Few brackets share a pass so that the counters stay within CELLS.
-        for start in range(0, len(pending), CELLS // 16):
-            batch = pending[start : start + CELLS // 16]
-            if sum(b.count for b in batch) <= CELLS:
-                _finish(keyed, batch, grp, found)
-            else:
-                open_ += _narrow(keyed, batch, grp)
+        batch, open_ = open_[:GAPS], open_[GAPS:]
+        parts = _pass(rows, batch, grp, totals)
+        for gap, slots in zip(batch, parts):
+            if not sized:
+                gap.ranks = _valid(wanted[gap.group], slots[0].count)
+            open_ += _settle(gap, slots, found[gap.group])
+        sized = True
     return found
 
 
-def _finish(keyed: DataFrame, batch: list[_Bracket], grp: Column | None, found: dict) -> None:
-    rows = (
-        keyed.withColumn("_b", _bracket_id(batch, grp))
-        .where("_b is not null")
-        .groupBy("_b", "_key")
-        .agg(F.count("*").alias("n"))
-        .collect()
-    )
-    for i, b in enumerate(batch):
-        below = b.below
-        todo = list(b.ranks)
-        for key, n in sorted((r["_key"], r["n"]) for r in rows if r["_b"] == i):
-            while todo and todo[0] <= below + n:
-                found[b.group][todo.pop(0)] = Cut(key, below, n)
-            below += n
+def _valid(ranks: Callable[[int], list[int]], n: int) -> list[int]:
+    return sorted({r for r in ranks(n) if 1 <= r <= n})
 
 
-def _narrow(keyed: DataFrame, batch: list[_Bracket], grp: Column | None) -> list[_Bracket]:
-    slots = max(2, CELLS // len(batch))
-    parts = []
-    for i, b in enumerate(batch):
-        if math.isinf(float(b.hi) - float(b.lo)):
-            width = float(b.hi) / 2 - float(b.lo) / 2
-            part = (F.col("_key") / 2 - F.lit(float(b.lo) / 2)) / F.lit(width)
-        else:
-            part = (F.col("_key") - F.lit(b.lo)).cast("double") / F.lit(float(b.hi - b.lo))
-        parts.append(F.when(F.col("_b") == i, F.least(F.floor(part * slots).cast("int"), F.lit(slots - 1))))
-    rows = (
-        keyed.withColumn("_b", _bracket_id(batch, grp))
-        .where("_b is not null")
-        .groupBy("_b", F.coalesce(*parts).alias("_s"))
-        .agg(F.count("*").alias("n"), F.min("_key").alias("lo"), F.max("_key").alias("hi"))
+def _evenly(rank: int, n: int, span: int) -> tuple[int, int]:
+    """Six standard deviations around the value expected at a rank of ``n`` evenly spread keys."""
+    at = rank / n
+    away = 6 * math.sqrt(at * (1 - at) / n) + 6 / n
+    return max(int((at - away) * span), 0), min(int((at + away) * span), span)
+
+
+@dataclass
+class _Slot:
+    """What a pass saw of the rows of one slot: counts, and either single keys or grids of a sketch."""
+
+    count: int = 0
+    marked: int = 0
+    keys: list[tuple[Any, int, int]] = field(default_factory=list)
+    grids: list[tuple[int, list]] = field(default_factory=list)
+    least: Any = None
+    most: Any = None
+
+    def add(self, r: Any) -> None:
+        self.count += r["n"]
+        self.marked += r["m"]
+        if r["_read"] is not None:
+            self.keys.append((r["_read"], r["n"], r["m"]))
+        if r["grid"] is not None:
+            self.grids.append((r["n"], r["grid"]))
+            self.least = r["lo"] if self.least is None else min(self.least, r["lo"])
+            self.most = r["hi"] if self.most is None else max(self.most, r["hi"])
+
+
+def _pass(rows: DataFrame, gaps: list[_Gap], grp: Column | None, totals: dict[bool, int] | None) -> list[list[_Slot]]:
+    """Count all slots of the gaps; close parts are read key by key if they are few rows, else sketched."""
+    firsts = np.cumsum([0] + [2 * len(g.bounds) + 1 for g in gaps]).tolist()
+    few = sum(g.expected for g in gaps) <= READ
+    close = [first + c for g, first in zip(gaps, firsts) for c in g.close]
+    slot = F.coalesce(*[F.when(_in_group(grp, g.group), g.slot(first)) for g, first in zip(gaps, firsts)])
+    if totals == {}:
+        slot = F.when(F.col("_key").isNotNull(), slot).otherwise(-1)
+    elif totals:
+        rows = rows.where("_key is not null")
+    is_close = F.col("_slot").isin(close)
+    near = F.when(is_close, F.col("_key"))
+    read, salt = (near, F.lit(0)) if few else (F.lit(None).cast("int"), F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    grid = F.lit(None) if few else F.expr(_SKETCH)
+    lowest, highest = (F.lit(None), F.lit(None)) if few else (F.min("_near"), F.max("_near"))
+    counted = (
+        rows.withColumn("_slot", slot).where("_slot is not null")
+        .select("_slot", read.alias("_read"), salt.alias("_salt"), near.alias("_near"), "_mark")
+        .groupBy("_slot", "_read", "_salt")
+        .agg(F.count("*").alias("n"), F.count_if("_mark").alias("m"), lowest.alias("lo"), highest.alias("hi"), grid.alias("grid"))
         .collect()
     )
+    slots = [_Slot() for _ in range(firsts[-1] + 1)]
+    for r in counted:
+        slots[r["_slot"]].add(r)
+    if totals is not None and not totals:
+        totals[True] = sum(r["m"] for r in counted)
+        totals[False] = sum(r["n"] for r in counted) - totals[True]
+    return [slots[first:end] for first, end in zip(firsts, firsts[1:])]
+
+
+def _settle(gap: _Gap, slots: list[_Slot], found: dict[int, Cut]) -> list[_Gap]:
+    """Note the cuts that a pass has found; the gaps in which ranks are still open."""
     out = []
-    for i, b in enumerate(batch):
-        below = b.below
-        for r in sorted((r for r in rows if r["_b"] == i), key=lambda r: r["_s"]):
-            inside = [k for k in b.ranks if below < k <= below + r["n"]]
-            if inside:
-                out.append(_Bracket(b.group, r["lo"], r["hi"], below, r["n"], inside))
-            below += r["n"]
+    below, marked = gap.below, gap.marked
+    for i, slot in enumerate(slots):
+        inside = [r for r in gap.ranks if below < r <= below + slot.count]
+        if inside and i % 2:
+            found.update({r: Cut(gap.bounds[i // 2], below, slot.count, marked + slot.marked) for r in inside})
+        elif inside and slot.keys:
+            _pick(slot, inside, below, marked, found)
+        elif inside and slot.grids and slot.least == slot.most:
+            found.update({r: Cut(slot.least, below, slot.count, marked + slot.marked) for r in inside})
+        elif inside:
+            lo = gap.bounds[i // 2 - 1] if i else gap.lo
+            hi = gap.bounds[i // 2] if i // 2 < len(gap.bounds) else gap.hi
+            part = _Gap(gap.group, inside, lo, hi, below, marked)
+            out.append(_guess(part, slot) if slot.grids else part)
+        below, marked = below + slot.count, marked + slot.marked
     return out
 
 
+def _pick(slot: _Slot, ranks: list[int], below: int, marked: int, found: dict[int, Cut]) -> None:
+    todo = list(ranks)
+    for key, n, m in sorted(slot.keys):
+        while todo and todo[0] <= below + n:
+            found[todo.pop(0)] = Cut(key, below, n, marked + m)
+        below, marked = below + n, marked + m
+
+
+def _guess(gap: _Gap, slot: _Slot) -> _Gap:
+    """Bounds around the ranks of a gap from the grids of its sketches."""
+    values = np.array([v for _, grid in slot.grids for v in grid])
+    weights = np.repeat([n / (GRID + 1) for n, _ in slot.grids], [len(grid) for _, grid in slot.grids])
+    order = np.argsort(values, kind="stable")
+    values, upto = values[order].tolist(), np.cumsum(weights[order])
+
+    def near(share: float) -> Any:
+        if not 0 < share < 1:
+            return slot.least if share <= 0 else slot.most
+        at = min(int(np.searchsorted(upto, share * upto[-1])), len(values) - 1)
+        # A sketch works in doubles; what rounding brings outside is no bound.
+        return min(max(values[at], slot.least), slot.most)
+
+    shares = [(r - gap.below - 0.5) / slot.count for r in gap.ranks]
+    pairs = [(near(s - SLACK), near(s + SLACK)) for s in shares]
+    return gap.cut_around(pairs, len(pairs) * (2 * SLACK * slot.count + 2))
+
+
 def head_filter(
     df: DataFrame,
     keys: list[Column],
     counts: dict[Any, Callable[[int], int]] | Callable[[int], int],
     group: Column | None = None,
     tie: str = "row_id",
+    sizes: dict[Any, int] | None = None,
+    span: int | None = None,
 ) -> Column:
     """Predicate that keeps exactly the first ``counts(n)`` rows in the order of ``keys``.
 
     Ties on every key are broken by the ``tie`` column; make the last key a row
     hash so that such ties are hash collisions and never a crowd. The rows are
     never sorted or moved: the answer is a comparison against exact thresholds.
+    ``sizes`` and ``span`` describe the first key as for ``order_cuts``.
     """
     wanted = counts if isinstance(counts, dict) else {None: counts}
     if not wanted:
@@ -180,7 +311,7 @@ def head_filter(
     if not keys:
         return _first_names(df, wanted, group, tie)
     ranks = {g: (lambda n, f=f: [min(max(f(n), 0), n)]) for g, f in wanted.items()}
-    found = order_cuts(df, keys[0], ranks if group is not None else ranks[None], group)
+    found = order_cuts(df, keys[0], ranks if group is not None else ranks[None], group, sizes, span)
     cuts = {g: next(iter(c.items())) for g, c in found.items() if c}
     # Groups whose cut falls inside a crowd of equal keys go on with the next key, together.
     crowded = {g: (cut.value, rank - cut.below) for g, (rank, cut) in cuts.items() if rank - cut.below < cut.equal}

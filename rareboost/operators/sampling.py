@@ -15,10 +15,10 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rareboost.functions.hashing import row_hash, row_uniform
+from rareboost.functions.hashing import HASH_SPAN, row_hash, row_uniform
 from rareboost.functions.joins import null_safe_join
 from rareboost.functions.losses import positive
-from rareboost.functions.selection import head_filter, order_cuts
+from rareboost.functions.selection import head_filter, marked_cuts, order_cuts
 from rareboost.session import Scratch
 
 # Fixed value: smallest inclusion probability (single-precision epsilon).
@@ -114,8 +114,8 @@ class Adaptive:
 
     def sample(self, df: DataFrame, round_: int, scratch: Scratch | None = None) -> DataFrame:
         scratch = scratch or Scratch()
-        threshold = self._gradient_threshold(df)
-        out = self._strata(df, threshold, round_)
+        threshold, sizes = self._gradient_threshold(df)
+        out = self._strata(df, threshold, sizes, round_)
         if self.bonus > 0.0:
             out = out.unionAll(self._boundary(df, threshold, round_))
         for i, quota in enumerate(self.quotas):
@@ -125,17 +125,22 @@ class Adaptive:
                 out = apply_cap(scratch.keep(out), quota)
         return out
 
-    def _gradient_threshold(self, df: DataFrame) -> Column:
-        """The k-th largest absolute gradient, k = ceil(n * keep); infinite for k = 0."""
-        cuts = order_cuts(df, -F.abs("g"), lambda n: [min(math.ceil(n * self.keep), n)])[None]
-        return F.lit(-next(iter(cuts.values())).value if cuts else float("inf"))
-
-    def _strata(self, df: DataFrame, threshold: Column, round_: int) -> DataFrame:
-        high = F.abs("g") >= threshold
+    def _gradient_threshold(self, df: DataFrame) -> tuple[Column, dict[int, int]]:
+        """The k-th largest absolute gradient, k = ceil(n * keep), infinite for k = 0; and the rows of every stratum."""
+        ranks = lambda n: [min(math.ceil(n * self.keep), n)]
+        cuts, pos, neg = marked_cuts(df, -F.abs("g"), positive(F.col("y")), ranks)
+        if not cuts:
+            return F.lit(float("inf")), {2: pos, 3: neg}
+        cut = next(iter(cuts.values()))
+        high = cut.below + cut.equal
+        return F.lit(-cut.value), {0: cut.marked, 1: high - cut.marked, 2: pos - cut.marked, 3: neg - high + cut.marked}
+
+    def _strata(self, df: DataFrame, threshold: Column, size: dict[int, int], round_: int) -> DataFrame:
+        # NaN counts as missing, as it has no rank.
+        high = (F.abs("g") >= threshold) & ~F.isnan("g")
         pos = positive(F.col("y"))
         stratum = F.when(pos & high, 0).when(high, 1).when(pos, 2).otherwise(3)
         marked = df.withColumn("_s", stratum)
-        size = {r["_s"]: r["count"] for r in marked.groupBy("_s").count().collect()}
         n = sum(size.values())
         pool = {2: size.get(2, 0), 3: size.get(3, 0)}
         target = self.target if self.target is not None else (size.get(0, 0) + pool[2]) / max(n, 1)
@@ -148,6 +153,8 @@ class Adaptive:
             [row_hash("adaptive", self.seed, round_)],
             {s: (lambda total, s=s: take[s]) for s in (2, 3)},
             group=F.col("_s"),
+            sizes=pool,
+            span=HASH_SPAN,
         )
         names = F.element_at(F.array(*[F.lit(x) for x in ("pos_top", "neg_top", "pos_rest", "neg_rest")]), F.col("_s") + 1)
         return marked.where((F.col("_s") < 2) | drawn).select(

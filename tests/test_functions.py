@@ -2,15 +2,18 @@
 
 import math
 import random
+import uuid
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rareboost.functions import losses, quantiles
+from rareboost.functions import losses, quantiles, selection
 from rareboost.functions.hashing import HASH_SPAN, row_hash, row_uniform
 from rareboost.functions.ranking import global_rank, running_sums
 from rareboost.functions.selection import head_filter, order_cuts
+from rareboost.operators.sampling import Adaptive
 
 
 def frame(spark, rows, schema):
@@ -31,6 +34,8 @@ def test_row_uniform_is_uniform_and_repeatable(spark):
     [1e300, -1e300, 1e-300, 0.0, 5e-324, float("inf"), -1.0] * 3,
     [7.0] * 9000 + [random.Random(3).random() for _ in range(9000)],
     [3.0],
+    [math.exp(random.Random(4).gauss(0, 40)) for _ in range(30000)],
+    [float(k) for k in range(40000)] + [5.0] * 40000,
 ])
 def test_order_cuts_match_sorting(spark, values):
     df = frame(spark, [(float(v),) for v in values], "v double").repartition(5)
@@ -46,6 +51,69 @@ def test_order_cuts_match_sorting(spark, values):
         assert (got[r].value, got[r].below, got[r].equal) == (v, sum(x < v for x in values), sum(x == v for x in values))
 
 
+def jobs_of(spark, run):
+    """What ``run`` returns, and how many jobs it started; adaptive plans would start one for every shuffle of a job."""
+    sc, name = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(name, name)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return run(), len(sc.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("read", [64, 1 << 14])
+def test_order_cuts_of_heavy_tails_take_few_passes(spark, monkeypatch, read):
+    """Keys over 300 orders of magnitude, half of them equal, and pairs of longs that doubles cannot tell apart."""
+    monkeypatch.setattr(selection, "READ", read)
+    rng = random.Random(6)
+    tails = [10.0 ** rng.uniform(-150, 150) for _ in range(20000)] + [2.0] * 20000
+    longs = [(1 << 55) + rng.randrange(50000) for _ in range(40000)]
+    df = frame(spark, list(zip(tails, longs)), "v double, k long").repartition(7).cache()
+    df.count()
+    passes = []
+    counted = selection._pass
+    monkeypatch.setattr(selection, "_pass", lambda *a: passes.append(1) or counted(*a))
+    for name, values in (("v", tails), ("k", longs)):
+        ranks = [1, 399, 20000, 39990, 40000]
+        passes.clear()
+        got = order_cuts(df, F.col(name), lambda n: ranks)[None]
+        ordered = sorted(values)
+        for r in ranks:
+            v = ordered[r - 1]
+            assert (got[r].value, got[r].below, got[r].equal) == (v, bisect_left(ordered, v), bisect_right(ordered, v) - bisect_left(ordered, v))
+        assert len(passes) <= (2 if read > 64 else 5)
+    df.unpersist()
+
+
+def test_cuts_of_spread_keys_need_no_sketch_and_survive_wrong_guesses(spark):
+    """Hashes are found in one pass; keys that are not spread as promised are found all the same."""
+    df = spark.range(30000).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("s")).repartition(5)
+    for key, span in ((row_hash("t"), HASH_SPAN), (F.pow(F.col("row_id"), F.lit(2)).cast("long"), HASH_SPAN)):
+        take = {0: 4000, 1: 14999}
+        sized = head_filter(df, [key], {s: (lambda n, k=k: k) for s, k in take.items()}, F.col("s"), sizes={0: 15000, 1: 15000}, span=span)
+        first = {s: sorted(df.where(F.col("s") == s).select(key).toPandas().iloc[:, 0])[k - 1] for s, k in take.items()}
+        kept = df.select("s", key.alias("k"), sized.alias("in")).toPandas()
+        assert ((kept["k"] <= kept["s"].map(first)) == kept["in"]).all()
+
+
+def test_a_sampled_round_takes_at_most_three_jobs(spark):
+    rng = random.Random(7)
+    rows = [(str(i), int(rng.random() < 0.1), rng.gauss(0, 1) if i % 50 else None, 0.2) for i in range(6000)]
+    df = frame(spark, rows, "row_id string, y int, g double, h double").cache()
+    df.count()
+    sample, jobs = jobs_of(spark, lambda: Adaptive(0.2, 0.1, 0.5).sample(df, 3))
+    assert jobs <= 3
+    found = sample.groupBy("stratum").agg(F.count("*").alias("n"), F.min(F.abs("g")).alias("least")).toPandas().set_index("stratum")
+    size = sorted((abs(r[2]) for r in rows if r[2] is not None), reverse=True)
+    top = math.ceil(len(size) * 0.2)
+    assert found.loc["pos_top", "n"] + found.loc["neg_top", "n"] == top
+    assert found.loc[["pos_top", "neg_top"], "least"].min() == size[top - 1]
+    assert found.loc["pos_rest", "n"] + found.loc["neg_rest", "n"] == math.ceil((len(rows) - top) * 0.1)
+    df.unpersist()
+
+
 def test_order_cuts_skip_missing_and_take_groups(spark):
     rows = [("a", 1.0), ("a", None), ("a", float("nan")), ("a", 5.0), ("b", 2.0)]
     got = order_cuts(frame(spark, rows, "g string, v double"), F.col("v"), {"a": lambda n: [n], "b": lambda n: [1], "c": lambda n: [1]}, F.col("g"))

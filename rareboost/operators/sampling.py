@@ -3,7 +3,8 @@
 A sampler takes the full training frame of a round (``row_id, y, g, h`` and any
 segment columns) and returns the drawn rows with ``ipc_w``, ``stratum`` and
 ``draw_seq``. A sample is a bag: a row may be drawn twice. Quotas are turned into
-exact thresholds on a row hash, so drawing n rows of a pool is a filter, not a sort.
+exact thresholds on a row hash, so drawing n rows of a pool is a filter, not a sort,
+and topping up or cutting back a segment changes the rows' draws where they lie.
 """
 
 from __future__ import annotations
@@ -113,17 +114,23 @@ class Adaptive:
     quotas: tuple[SegmentQuota, ...] = ()
 
     def sample(self, df: DataFrame, round_: int, scratch: Scratch | None = None) -> DataFrame:
+        return drawn(self.draws(df, round_, scratch))
+
+    def draws(self, df: DataFrame, round_: int, scratch: Scratch | None = None) -> DataFrame:
+        """All rows, with ``_draws``: what each was drawn for, nothing if it was not.
+
+        Quotas add to and take from this column, so no row is ever looked up by its key.
+        """
         scratch = scratch or Scratch()
         threshold, sizes = self._gradient_threshold(df)
-        out = self._strata(df, threshold, sizes, round_)
-        if self.bonus > 0.0:
-            out = out.unionAll(self._boundary(df, threshold, round_))
+        marked, draw = self._strata(df, threshold, sizes, round_)
+        draws = [draw] + ([self._boundary(df, threshold, round_)] if self.bonus > 0.0 else [])
+        rows = marked.select(*df.columns, F.array_compact(F.array(*draws)).alias("_draws"))
         for i, quota in enumerate(self.quotas):
             # Training carries the columns of all quotas and fails without them; a bare frame may lack some.
             if quota.segment in df.columns:
-                out = apply_floor(df, scratch.keep(out), quota, self.seed, round_, phase=5 + i)
-                out = apply_cap(scratch.keep(out), quota)
-        return out
+                rows = apply_cap(apply_floor(rows, quota, self.seed, round_, 5 + i, scratch), quota)
+        return rows
 
     def _gradient_threshold(self, df: DataFrame) -> tuple[Column, dict[int, int]]:
         """The k-th largest absolute gradient, k = ceil(n * keep), infinite for k = 0; and the rows of every stratum."""
@@ -135,7 +142,8 @@ class Adaptive:
         high = cut.below + cut.equal
         return F.lit(-cut.value), {0: cut.marked, 1: high - cut.marked, 2: pos - cut.marked, 3: neg - high + cut.marked}
 
-    def _strata(self, df: DataFrame, threshold: Column, size: dict[int, int], round_: int) -> DataFrame:
+    def _strata(self, df: DataFrame, threshold: Column, size: dict[int, int], round_: int) -> tuple[DataFrame, Column]:
+        """The rows with their stratum ``_s``, and the draw of a row."""
         # NaN counts as missing, as it has no rank.
         high = (F.abs("g") >= threshold) & ~F.isnan("g")
         pos = positive(F.col("y"))
@@ -148,7 +156,7 @@ class Adaptive:
         take_pos = math.floor(budget * target + 0.5)
         take = {2: take_pos, 3: max(budget - take_pos, 0)}
         weight = {s: 1.0 / max(min(1.0, take[s] / pool[s]), MIN_PROBABILITY) if pool[s] else 1.0 for s in (2, 3)}
-        drawn = head_filter(
+        taken = head_filter(
             marked,
             [row_hash("adaptive", self.seed, round_)],
             {s: (lambda total, s=s: take[s]) for s in (2, 3)},
@@ -157,77 +165,121 @@ class Adaptive:
             span=HASH_SPAN,
         )
         names = F.element_at(F.array(*[F.lit(x) for x in ("pos_top", "neg_top", "pos_rest", "neg_rest")]), F.col("_s") + 1)
-        return marked.where((F.col("_s") < 2) | drawn).select(
-            *df.columns,
-            F.when(F.col("_s") == 2, weight[2]).when(F.col("_s") == 3, weight[3]).otherwise(1.0).alias("ipc_w"),
-            names.alias("stratum"),
-            _seq(F.col("_s"), "adaptive", self.seed, round_).alias("draw_seq"),
-        )
+        weights = F.when(F.col("_s") == 2, weight[2]).when(F.col("_s") == 3, weight[3]).otherwise(1.0)
+        return marked, F.when((F.col("_s") < 2) | taken, _draw(weights, names, _seq(F.col("_s"), "adaptive", self.seed, round_)))
 
-    def _boundary(self, df: DataFrame, threshold: Column, round_: int) -> DataFrame:
+    def _boundary(self, df: DataFrame, threshold: Column, round_: int) -> Column:
         cuts = order_cuts(df, -F.col("h"), lambda n: [math.ceil(n * 0.05) + 1])[None]
         h_min = -next(iter(cuts.values())).value if cuts else 0.0
         near = (F.col("h") >= h_min) & (F.abs("g") < threshold)
-        return df.where(near & (row_uniform("bonus", self.seed, round_) < self.bonus)).select(
-            "*",
-            F.lit(1.0 / max(self.bonus, MIN_PROBABILITY)).alias("ipc_w"),
-            F.lit("bonus").alias("stratum"),
-            _seq(4, "bonus", self.seed, round_).alias("draw_seq"),
-        )
+        weight = F.lit(1.0 / max(self.bonus, MIN_PROBABILITY))
+        chosen = near & (row_uniform("bonus", self.seed, round_) < self.bonus)
+        return F.when(chosen, _draw(weight, F.lit("bonus"), _seq(4, "bonus", self.seed, round_)))
+
+
+def _draw(weight: Column, stratum: Column, seq: Column) -> Column:
+    return F.struct(weight.alias("ipc_w"), stratum.alias("stratum"), seq.alias("draw_seq"))
+
+
+def drawn(rows: DataFrame) -> DataFrame:
+    """The sample: a row for every draw."""
+    return rows.withColumn("_draw", F.explode("_draws")).select("*", "_draw.*").drop("_draws", "_draw")
+
+
+def not_drawn(rows: DataFrame) -> DataFrame:
+    """The rows without a draw."""
+    return rows.where(F.size("_draws") == 0).drop("_draws")
 
 
 def not_sampled(df: DataFrame, sample: DataFrame) -> DataFrame:
-    """Rows of ``df`` that the sample lacks."""
+    """Rows of ``df`` that a sample given as a table lacks; ``not_drawn`` needs no join."""
     return df.join(sample.select("row_id"), "row_id", "left_anti")
 
 
-def apply_floor(df: DataFrame, sample: DataFrame, quota: SegmentQuota, seed: int, round_: int, phase: int) -> DataFrame:
-    """Top up every segment value that has fewer than ``min_per_segment`` drawn rows.
+def apply_floor(rows: DataFrame, quota: SegmentQuota, seed: int, round_: int, phase: int, scratch: Scratch) -> DataFrame:
+    """Top up every segment value that has fewer than ``min_per_segment`` drawn rows, by smallest row hash.
 
-    Only rows of short segments are joined. A salted first pass leaves at most
-    ``min_per_segment`` rows per (segment, salt), so no segment is sorted whole.
+    Only one edge per short segment is joined to the rows, by segment; the edges are
+    as many rows as there are short segments, and the planner broadcasts them where
+    they are small.
     """
     if quota.min_per_segment <= 0:
-        return sample
+        return rows
     seg = quota.segment
-    have = sample.groupBy(seg).agg(F.count("*").alias("_have"))
-    short = (
-        null_safe_join(df.select(seg).distinct(), have, [seg], "left")
-        .select(seg, (F.lit(quota.min_per_segment) - F.coalesce("_have", F.lit(0))).alias("_need"))
-        .where(F.col("_need") > 0)
-    )
-    pool = not_sampled(null_safe_join(df, short, [seg]), sample)
-    sized = pool.groupBy(seg).agg(F.count("*").alias("_pool"))
     tag = f"floor-{seg}"
-    order = [row_hash(tag, seed, round_), F.col("row_id")]
-    salted = Window.partitionBy(seg, F.pmod(row_hash(tag, seed, round_), F.lit(64))).orderBy(*order)
-    final = Window.partitionBy(seg).orderBy(*order)
-    drawn = (
-        pool.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= quota.min_per_segment)
-        .withColumn("_r", F.row_number().over(final)).where(F.col("_r") <= F.col("_need"))
+    idle = F.size("_draws") == 0
+    key = F.struct(row_hash(tag, seed, round_).alias("hash"), F.col("row_id"))
+    sums = rows.groupBy(seg).agg(F.sum(F.size("_draws")).alias("_have"), F.count_if(idle).alias("_pool"))
+    short = scratch.keep(
+        sums.select(seg, (F.lit(quota.min_per_segment) - F.col("_have")).alias("_need"), "_pool")
+        .where((F.col("_need") > 0) & (F.col("_pool") > 0))
     )
-    drawn = null_safe_join(drawn, sized, [seg])
-    pi = F.greatest(F.least(F.lit(1.0), F.col("_need") / F.greatest("_pool", F.lit(1))), F.lit(MIN_PROBABILITY))
-    extras = drawn.select(
-        *df.columns, (1.0 / pi).alias("ipc_w"), F.lit("floor").alias("stratum"), _seq(phase, tag, seed, round_).alias("draw_seq")
-    )
-    return sample.unionByName(extras)
+    edges = _edges(rows.where(idle).select(seg, key.alias("_key")), short, seg, scratch)
+    pi = F.greatest(F.least(F.lit(1.0), F.col("_need") / F.col("_pool")), F.lit(MIN_PROBABILITY))
+    extra = _draw(1.0 / pi, F.lit("floor"), _seq(phase, tag, seed, round_))
+    within = F.coalesce(idle & (key <= F.col("_edge")), F.lit(False))
+    topped = F.when(within, F.array(extra)).otherwise(F.col("_draws"))
+    return null_safe_join(rows, edges, [seg], "left").select(*[topped.alias(c) if c == "_draws" else F.col(c) for c in rows.columns])
+
+
+def _edges(pool: DataFrame, short: DataFrame, seg: str, scratch: Scratch) -> DataFrame:
+    """Per short segment the key of the last row it needs; of a segment with too few rows, of its last row.
+
+    Row hashes are evenly spread, so the wanted rows lie below a bound six standard
+    deviations beyond their expected place, and few others do: what is ranked grows
+    with the quota, not with the segment. Where too few lie there, the bound is raised.
+    """
+    last = Window.partitionBy(seg).orderBy("_key")
+    spare = 6.0
+    while True:
+        share = (F.col("_need") + spare * F.sqrt(F.col("_need") + 1)) / F.col("_pool")
+        first = null_safe_join(pool, short, [seg]).where(F.col("_key.hash") < share * float(HASH_SPAN))
+        edges = scratch.keep(
+            first.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= F.col("_need"))
+            .groupBy(seg).agg(F.max("_key").alias("_edge"), F.max("_need").alias("_need"), F.max("_pool").alias("_pool"), F.count("*").alias("_n"))
+        )
+        complete = edges.where(F.col("_n") == F.least("_need", "_pool")).count()
+        if complete == short.count():
+            return edges.drop("_n")
+        spare *= 16
 
 
-def apply_cap(sample: DataFrame, quota: SegmentQuota) -> DataFrame:
-    """Keep the first ``ceil(total * max_fraction)`` rows per segment value in draw order.
+def apply_cap(rows: DataFrame, quota: SegmentQuota) -> DataFrame:
+    """Keep the first ``ceil(total * max_fraction)`` draws per segment value in draw order.
 
     Fewer than ``1 / max_fraction`` values can exceed the cap, so their list is
     short; each gets an exact threshold on ``draw_seq``.
     """
+    if quota.max_fraction >= 1.0:
+        return rows
     seg = quota.segment
-    cap = math.ceil(sample.count() * quota.max_fraction)
-    over = [r[seg] for r in sample.groupBy(seg).count().where(F.col("count") > cap).collect()]
+    have = rows.groupBy(seg).agg(F.sum(F.size("_draws")).alias("n"))
+    total = have.agg(F.sum("n")).collect()[0][0] or 0
+    cap = math.ceil(total * quota.max_fraction)
+    over = [r[seg] for r in have.where(F.col("n") > cap).collect()]
     if not over:
-        return sample
-    within = head_filter(sample, [F.col("draw_seq")], {v: (lambda n: cap) for v in over}, group=F.col(seg))
-    capped = reduce(lambda a, b: a | b, [F.col(seg).eqNullSafe(F.lit(v)) for v in over])
-    return sample.where(~capped | within)
+        return rows
+    sample = rows.select("row_id", seg, F.explode("_draws.draw_seq").alias("draw_seq"))
+    cuts = order_cuts(sample, F.col("draw_seq"), {v: (lambda n: [cap]) for v in over}, F.col(seg))
+
+    def kept(draw: Column) -> Column:
+        seq, out = draw["draw_seq"], F
+        for v, cut in cuts.items():
+            here = F.col(seg).eqNullSafe(F.lit(v))
+            if cap == 0:
+                out = out.when(here, False)
+                continue
+            cut = cut[cap]
+            inside = seq <= F.lit(cut.value)
+            if cap < cut.below + cut.equal:
+                # Equal hashes: a handful, told apart by their names.
+                tied = sample.where(here & (F.col("draw_seq") == cut.value))
+                names = [r[0] for r in tied.select("row_id").orderBy("row_id").limit(cap - cut.below).collect()]
+                inside = (seq < F.lit(cut.value)) | ((seq == F.lit(cut.value)) & F.col("row_id").isin(names))
+            out = out.when(here, inside)
+        return out.otherwise(True)
+
+    return rows.withColumn("_draws", F.filter("_draws", kept))
 
 
 def sampler_by_name(name: str, subsample: float, seed: int = 42) -> Sampler:

@@ -227,7 +227,7 @@ def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT row_id, seg_brand FROM gradients WHERE row_id NOT IN (SELECT row_id FROM drawn)""")
 def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    return sampling.not_sampled(rows, sampling.Adaptive(0.2, 0.1, 0.5).sample(rows, 0)).select("row_id", "seg_brand")
+    return sampling.not_drawn(sampling.Adaptive(0.2, 0.1, 0.5).draws(rows, 0)).select("row_id", "seg_brand")
 
 
 _PICKED = f"""SELECT 'uniform' AS name, row_id, stratum, ipc_w FROM ({UNIFORM_SQL.replace('1.25e0', '1e0 / 0.8e0')})

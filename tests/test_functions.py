@@ -13,7 +13,7 @@ from rareboost.functions import losses, quantiles, selection
 from rareboost.functions.hashing import HASH_SPAN, row_hash, row_uniform
 from rareboost.functions.ranking import global_rank, running_sums
 from rareboost.functions.selection import head_filter, order_cuts
-from rareboost.operators.sampling import Adaptive
+from rareboost.operators.sampling import Adaptive, SegmentQuota
 
 
 def frame(spark, rows, schema):
@@ -114,6 +114,27 @@ def test_a_sampled_round_takes_at_most_three_jobs(spark):
     df.unpersist()
 
 
+def test_quotas_shuffle_nothing_by_row_key_and_hold_on_many_and_hot_segments(spark):
+    """A segment with a third of the rows, many of a few rows, and missing ones; floors and caps by hand."""
+    rng = random.Random(8)
+    seg = lambda i: "hot" if i % 3 == 0 else None if i % 3 == 1 and i % 7 == 0 else f"s{i % 400}"
+    rows = [(str(i), int(rng.random() < 0.1), rng.gauss(0, 1), 0.2, seg(i)) for i in range(9000)]
+    df = frame(spark, rows, "row_id string, y int, g double, h double, seg string").repartition(6).cache()
+    base = Adaptive(0.02, 0.05, 0.5).sample(df, 1).toPandas()
+    quota = SegmentQuota("seg", 9, 0.03)
+    got = Adaptive(0.02, 0.05, 0.5, quotas=(quota,)).sample(df, 1)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not any("row_id" in line.split("Join")[1] for line in plan.splitlines() if "Join" in line)
+    sizes = lambda table: table["seg"].fillna("missing").value_counts().to_dict()
+    have, members, mine = sizes(base), sizes(df.toPandas()), got.toPandas()
+    topped = {k: max(have.get(k, 0), min(9, n)) for k, n in members.items()}
+    cap = math.ceil(sum(topped.values()) * 0.03)
+    assert sizes(mine) == {k: min(n, cap) for k, n in topped.items()}
+    hot = mine[mine["seg"] == "hot"]["draw_seq"].max()
+    assert (base[(base["seg"] == "hot") & (base["draw_seq"] <= hot)]["row_id"].isin(mine["row_id"])).all()
+    df.unpersist()
+
+
 def test_order_cuts_skip_missing_and_take_groups(spark):
     rows = [("a", 1.0), ("a", None), ("a", float("nan")), ("a", 5.0), ("b", 2.0)]
     got = order_cuts(frame(spark, rows, "g string, v double"), F.col("v"), {"a": lambda n: [n], "b": lambda n: [1], "c": lambda n: [1]}, F.col("g"))

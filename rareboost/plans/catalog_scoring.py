@@ -15,9 +15,10 @@ from rareboost.plans.fixtures import FEATURES, N_BINS, lines, sigmoid_sql
 from rareboost.plans.models import demo
 from rareboost.plans.oracles import boost_sql, isotonic_apply_sql, isotonic_sql
 from rareboost.plans.registry import query
-from rareboost.session import stage
+from rareboost.session import stage, staged_path
 from rareboost.sources import tables
 from rareboost.sources.models import Model, load_model, model_tables, save_model, tree_report
+from rareboost.streaming.scoring import score_folder
 
 PU_RATE = 0.4
 
@@ -99,6 +100,17 @@ def r9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, {"margin": "margin", "raw": "raw", "calibrated": "calibrated"})
 
 
+@query("r9_stream_scores", f"""WITH {_BOOST} SELECT row_id, round(pred, 6) AS margin, round({sigmoid_sql('pred')}, 6) AS raw,
+  round((prob0 + prob1) / 2, 6) AS calibrated FROM state2""")
+def r9_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows arrive as files of a folder, a few a batch, and are scored as they come."""
+    rows = stage(lines(spark, sf_dir).select("row_id", *FEATURES))
+    modes = {"margin": "margin", "raw": "raw", "calibrated": "calibrated"}
+    files = max(len(rows.inputFiles()) // 3, 1)
+    out = score_folder(spark, rows._staged_path, rows.schema, demo(spark, sf_dir), staged_path(spark), modes, files)
+    return out.select("row_id", *[F.round(c, 6).alias(c) for c in modes])
+
+
 @query("r10_scorer_modes", f"""WITH {_ISO} SELECT row_id, round(least(prob / {PU_RATE}e0, 1), 6) AS pu, round(prob, 6) AS isotonic,
   round({sigmoid_sql('(1.5e0 * pred - 0.25e0)')}, 6) AS platt, round((prob0 + prob1) / 2, 6) AS calibrated,
   round({sigmoid_sql('pred')}, 6) AS raw FROM applied""")

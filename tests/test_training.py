@@ -15,8 +15,8 @@ from rareboost.operators.histogram import GainSplitter
 from rareboost.operators.probability import platt_fit
 from rareboost.operators.sampling import Adaptive, SegmentQuota, Uniform
 from rareboost.operators.scoring import mode_from_flags, resolve_mode
-from rareboost.plans.fixtures import FEATURES, lines
-from rareboost.session import stage
+from rareboost.plans.fixtures import FEATURES, lines, staged_lines
+from rareboost.session import stage, unstage
 from tests import twin
 
 PLAIN = Config(
@@ -271,3 +271,20 @@ def isotonic_brute(points):
     n = len(points)
     mean = lambda j, k: (r[j:k + 1] * w[j:k + 1]).sum() / w[j:k + 1].sum()
     return [max(min(mean(j, k) for k in range(i, n)) for j in range(i + 1)) for i in range(n)]
+
+
+def test_a_staged_table_is_trained_on_where_it_lies(table, monkeypatch):
+    copies = []
+    monkeypatch.setattr(boosting, "stage", lambda df, *a: copies.append(df) or stage(df, *a))
+    config = replace(PLAIN, n_rounds=1, max_depth=2, calibrate=True, raw_isotonic=True, k_folds=2)
+    model = train(table, FEATURES, config)
+    assert model.isotonic and not copies
+    assert train(table.where("true"), FEATURES, replace(PLAIN, n_rounds=1, max_depth=2)).n_trees == 1 and len(copies) == 1
+
+
+def test_lines_are_staged_once_and_again_when_dropped(spark, sf):
+    first = staged_lines(spark, sf)
+    assert staged_lines(spark, sf) is first
+    unstage(first)
+    again = staged_lines(spark, sf)
+    assert again is not first and again.count() == lines(spark, sf).count()

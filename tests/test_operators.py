@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rareboost import session
 from rareboost.functions.hashing import row_hash
 from rareboost.operators import boosting, encoding, folds, metrics, probability, sampling, scoring
 from rareboost.operators.binning import cut_points, fit_binner
@@ -15,6 +16,7 @@ from rareboost.operators.folds import shuffled_folds, stratified_folds, stratifi
 from rareboost.operators.histogram import build, totals
 from rareboost.operators import leaf_calibration as calibration
 from rareboost.operators import posthoc
+from rareboost.session import stage
 from rareboost.sources import tables
 from tests import twin
 
@@ -423,3 +425,36 @@ def test_rows_of_a_csv_get_keys(spark, tmp_path):
     model, by_key = boosting.train(df, ["a", "b"], config), boosting.train(keyed, ["a", "b"], config)
     assert np.allclose([t.leaf_values for t in model.trees], [t.leaf_values for t in by_key.trees])
     assert scoring.transform(df, model, "raw").count() == 300
+
+
+def test_targets_of_many_categories_meet_by_their_widest_column(spark, monkeypatch):
+    """Crowded and missing categories included, the same rates as by a join for each target; no target moves the rows by itself."""
+    rows = [(i, None if i % 11 == 0 else i % 7 if i % 2 else 100, f"s{i % 3}", i % 4, i % 5, float(i % 13 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id int, a int, b string, c int, fold int, y double").repartition(5)
+    fs = FeatureSet(("a", "b"), (("a", "b"), ("a", "c")), ("b",), smoothing=2.0)
+    joined = {r["row_id"]: r for r in fs.train_rows(df).collect()}
+    monkeypatch.setattr(encoding, "MANY", 4)
+    for crowd in (1 << 20, 50):
+        monkeypatch.setattr(encoding, "CROWD", crowd)
+        met = fs.train_rows(df)
+        assert met.columns == df.columns + fs.names
+        out = met.collect()
+        assert len(out) == len(rows)
+        assert all(abs(r[n] - joined[r["row_id"]][n]) < 1e-12 for r in out for n in fs.names)
+    monkeypatch.setattr(encoding, "CROWD", 1 << 20)
+    plan = fs.train_rows(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("REPARTITION_BY_COL") == 1 and "SortMergeJoin" not in plan
+
+
+def test_isotonic_points_are_computed_once(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(probability, "stage", lambda df: staged.append(stage(df)) or staged[-1], raising=False)
+    fitted = probability.isotonic_fit(spark.createDataFrame([(0.1, 1.0, 1.0), (0.4, 0.0, 2.0)], "score double, y double, w double"))
+    assert len(staged) == 1 and fitted.count() == 2
+
+
+def test_large_tables_in_few_files_are_not_dealt_out(spark, sf, monkeypatch):
+    table = spark.read.parquet(f"{sf}/lineitem.parquet")
+    assert session.spread(table, "l_orderkey") is not table or len(table.inputFiles()) >= spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "SMALL", 1, raising=False)
+    assert session.spread(table, "l_orderkey") is table

@@ -458,3 +458,28 @@ def test_large_tables_in_few_files_are_not_dealt_out(spark, sf, monkeypatch):
     assert session.spread(table, "l_orderkey") is not table or len(table.inputFiles()) >= spark.sparkContext.defaultParallelism
     monkeypatch.setattr(session, "SMALL", 1, raising=False)
     assert session.spread(table, "l_orderkey") is table
+
+
+def test_caps_read_the_drawn_rows_only(spark):
+    segments = {f"s{i}": (F.col("id") % (i + 2)).cast("string") for i in range(3)}
+    base = spark.range(0, 4000, 1, 4).select(
+        F.concat(F.lit("r"), F.col("id")).alias("row_id"), (F.col("id") % 10 == 0).cast("double").alias("y"),
+        (F.sin("id") / 2).alias("g"), F.lit(0.2).alias("h"), *[c.alias(n) for n, c in segments.items()],
+    ).localCheckpoint()
+
+    def scanned(n_caps: int) -> tuple[int, int]:
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        rows = base.mapInArrow(count, base.schema)
+        quotas = tuple(sampling.SegmentQuota(f"s{i}", 0, 0.2) for i in range(n_caps))
+        drawn = sampling.Adaptive(0.2, 0.1, 0.5, quotas=quotas).sample(rows, 0).count()
+        return drawn, seen.value
+
+    (one, read), (three, read_more) = scanned(1), scanned(3)
+    assert 0 < three < one
+    assert read_more == read

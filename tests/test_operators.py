@@ -483,3 +483,32 @@ def test_caps_read_the_drawn_rows_only(spark):
     (one, read), (three, read_more) = scanned(1), scanned(3)
     assert 0 < three < one
     assert read_more == read
+
+
+def test_fold_models_share_the_passes_over_the_rows(spark):
+    from rareboost.operators.binning import fit_fold_binners
+
+    rng = random.Random(3)
+    rows = [(i % 3, float(rng.randrange(40)), None if i % 7 == 0 else rng.random()) for i in range(300)]
+    df = spark.createDataFrame(rows + [(1, 1e6, float("nan"))], "fold int, a double, b double").repartition(2).localCheckpoint()
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    found = fit_fold_binners(df.mapInArrow(count, df.schema), ["a", "b"], 16, 3)
+    assert seen.value == 301
+    assert found == [fit_binner(df.where(F.col("fold") != k), ["a", "b"], 16) for k in range(3)]
+    assert found[0] != found[1]
+
+
+def test_floor_counts_repeated_rows_at_its_edge(spark):
+    rows = spark.createDataFrame([(f"r{i // 3}", "a") for i in range(30)], "row_id string, s string")
+    rows = rows.withColumn("_draws", F.array().cast(sampling._DRAWS))
+    with session.Scratch() as scratch:
+        topped, taken = sampling.apply_floor(rows, rows.where("false"), sampling.SegmentQuota("s", 4), 1, 0, 5, scratch)
+        key = lambda df: sorted((r["row_id"], r["draw_seq"]) for r in sampling.drawn(df).collect())
+        assert len(key(topped)) == 6
+        assert key(taken) == key(topped)

@@ -1,8 +1,10 @@
 """Rounds on cached blocks against the rounds as DataFrame passes, and how many jobs they take."""
 
+import hashlib
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,14 @@ def test_losses_on_arrays_equal_the_columns(spark, objective):
     want = np.array([tuple(r) for r in got.collect()]).T
     y, x = np.array(rows).T
     assert np.allclose(np.array([*objective.arrays(y, x), losses.log_loss_array(y, losses.sigmoid_array(x))]), want, rtol=1e-12, atol=1e-15)
+
+
+def test_keys_are_kept_as_one_text():
+    """Missing offsets, empty keys and slices included; a list of objects cost more than the hashes."""
+    keys = [b"a", b"", "ä-1".encode(), b"longer key", b"nul\0"]
+    for column in (pa.array(keys, pa.binary()), pa.array([b"x", *keys, b"y"], pa.binary()).slice(1, 5)):
+        text, ends = blocks._texts(column)
+        assert text == b"".join(keys) and ends.tolist() == [0, 1, 1, 5, 15, 19]
+        want = [int(hashlib.md5(k + b"|42|0|t").hexdigest()[:14], 16) for k in keys]
+        assert blocks._hashes((text, ends), "t", 42, 0).tolist() == want
+    assert blocks._hashes(blocks._texts(pa.array([], pa.binary())), "t", 42, 0).tolist() == []

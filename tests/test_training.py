@@ -10,7 +10,7 @@ from rareboost import Config, fit, load_model, save_model, train, transform
 from rareboost.functions import losses
 from rareboost.functions.hashing import row_uniform
 from rareboost.operators import boosting
-from rareboost.operators.folds import stratified_folds
+from rareboost.operators.folds import assign_folds, stratified_folds
 from rareboost.operators.histogram import GainSplitter
 from rareboost.operators.probability import platt_fit
 from rareboost.operators.sampling import Adaptive, SegmentQuota, Uniform
@@ -290,3 +290,34 @@ def test_lines_are_staged_once_and_again_when_dropped(spark, sf):
     unstage(first)
     again = staged_lines(spark, sf)
     assert again is not first and again.count() == lines(spark, sf).count()
+
+
+@pytest.mark.parametrize("by", ["random", "shuffled"])
+def test_a_fold_hashes_the_key_once_per_pass(table, by):
+    """A filter on the fold repeated the hash for every comparison with a fold's end."""
+    folded = assign_folds(table, 5, by)
+    plan = folded.where("fold <> 1").select("row_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
+    assert sorted(sizes) == list(range(5)) and max(sizes.values()) - min(sizes.values()) <= 2
+
+
+def test_held_out_scores_are_those_of_each_folds_model_from_one_pass(table):
+    config = replace(PLAIN, n_rounds=2, max_depth=2, k_folds=3, fold_by="shuffled")
+    held = boosting.held_out_scores(table, FEATURES, config)
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Relation") == 1
+    got = {r["row_id"]: r for r in held.collect()}
+    folded = assign_folds(table, 3, "shuffled", config.fold_seed)
+    seed = lambda k: config.seed + k * boosting.FOLD_SEED_STRIDE
+    for k in range(3):
+        model = train(folded.where(F.col("fold") != k), FEATURES, replace(config, calibrate=False, seed=seed(k)))
+        want = transform(folded.where(F.col("fold") == k), model, "margin", "m").select("row_id", "m").collect()
+        assert all(got[r["row_id"]]["fold"] == k and got[r["row_id"]]["score"] == pytest.approx(r["m"], abs=1e-9) for r in want)
+    assert len(got) == table.count()
+
+
+def test_one_pass_counts_the_classes_outside_of_every_fold(spark):
+    rows = [(0, 1.0), (0, 0.0), (1, 0.0), (1, 0.0), (1, 1.0)]
+    got = boosting._priors_without(spark.createDataFrame(rows, "fold int, y double"), 3)
+    assert got == [{"n": 3, "n_pos": 1, "prior": 1 / 3}, {"n": 2, "n_pos": 1, "prior": 0.5}, {"n": 5, "n_pos": 2, "prior": 0.4}]

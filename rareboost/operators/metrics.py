@@ -15,7 +15,7 @@ from rareboost.functions.hashing import row_hash
 from rareboost.functions.losses import EPS, log_loss, positive
 from rareboost.functions.joins import null_safe_join
 from rareboost.functions.ranking import global_rank, running_sums
-from rareboost.session import stage
+from rareboost.session import is_staged, stage
 
 # Metric names, and whether a higher value is better.
 HIGHER_IS_BETTER = {
@@ -86,38 +86,53 @@ def _calibration_gap(counts: DataFrame, group: list[str], n_bins: int = 10) -> D
     return bins.groupBy(*group).agg((F.coalesce(F.sum(gap), F.lit(0.0)) / F.sum("n")).alias("ece"))
 
 
+#: Low bits of a row hash that name no cell: tied rows are counted in 1,024 cells first.
+CELL_BITS = 46
+
+
 def precision_at_top(df: DataFrame, group: list[str], share: float = 0.05, p: str = "p", label: str = "y") -> DataFrame:
     """Share of positives among the ``floor(n * share)`` highest scores of every group.
 
     Ties are broken by row hash. The score at the cut comes from the running
-    counts of a group's scores; only rows of that very score are looked at again,
-    numbered over range blocks, so neither many groups nor a crowd of equal
-    scores ends up in one place.
+    counts of a group's scores. Rows of that very score are counted by the high bits
+    of their hash, and only those of the one cell in which the cut lies are
+    numbered, over range blocks; so neither many groups nor a crowd of equal scores
+    ends up in one place, and no other row is moved.
     """
-    counts = score_counts(df, group, p, label).withColumn("n", F.col("pos") + F.col("neg"))
-    run = stage(running_sums(counts, [F.col("p").desc()], {"upto": F.col("n")}, group))
+    return _precision(df, score_counts(df, group, p, label), group, share, p, label)
+
+
+def _precision(df: DataFrame, counts: DataFrame, group: list[str], share: float, p: str, label: str) -> DataFrame:
+    run = stage(running_sums(counts.withColumn("n", F.col("pos") + F.col("neg")), [F.col("p").desc()], {"upto": F.col("n")}, group))
     size = run.groupBy(*group).agg(F.floor(F.sum("n") * F.lit(share)).alias("k"))
     placed = null_safe_join(run, size, group).where("k > 0")
     above = placed.where("upto <= k").select(*group, "k", F.col("pos").alias("hits"))
-    edge = placed.where("upto > k and upto - n < k").select(*group, "p", "k", (F.col("k") - F.col("upto") + F.col("n")).alias("need"))
-    rows = df.select("row_id", *group, F.col(p).alias("p"), F.col(label).cast("double").alias("_y"), row_hash("top-tie").alias("_h"))
-    tied = null_safe_join(rows, edge, [*group, "p"])
-    drawn = running_sums(tied, [F.col("_h"), F.col("row_id")], {"_r": F.lit(1)}, group).where("_r <= need")
-    hits = above.unionByName(drawn.select(*group, "k", F.col("_y").alias("hits")))
+    # Staged, so that the planner knows its size: one row per group.
+    edge = stage(placed.where("upto > k and upto - n < k").select(*group, "p", "k", (F.col("k") - F.col("upto") + F.col("n")).alias("need")))
+    rows = df.select("row_id", *group, F.col(p).alias("p"), F.col(label).cast("double").alias("_y"))
+    tied = null_safe_join(rows, edge, [*group, "p"]).withColumn("_h", row_hash("top-tie")).withColumn("_cell", F.shiftright("_h", CELL_BITS))
+    cells = stage(tied.groupBy(*group, "_cell").agg(F.count("*").alias("n"), F.sum("_y").alias("hits")))
+    met = null_safe_join(running_sums(cells, [F.col("_cell")], {"upto": F.col("n")}, group), edge.select(*group, "k", "need"), group)
+    below = met.where("upto <= need").select(*group, "k", "hits")
+    cut = stage(met.where("upto > need and upto - n < need").select(*group, "_cell", (F.col("need") - F.col("upto") + F.col("n")).alias("_take")))
+    last = stage(null_safe_join(tied, cut, [*group, "_cell"]).select("row_id", *group, "k", "_y", "_h", "_take"))
+    drawn = running_sums(last, [F.col("_h"), F.col("row_id")], {"_r": F.lit(1)}, group).where("_r <= _take")
+    hits = above.unionByName(below).unionByName(drawn.select(*group, "k", F.col("_y").alias("hits")))
     return hits.groupBy(*group).agg((F.sum("hits") / F.max("k")).alias("p5pct"))
 
 
 def evaluate(df: DataFrame, group: list[str], p: str = "p", label: str = "y") -> DataFrame:
-    """Seven metrics per group of scores clipped to [1e-7, 1 - 1e-7]."""
-    df = stage(df.select("row_id", *group, p, label))
-    counts = stage(score_counts(df.withColumn(p, clipped(F.col(p))), group, p, label))
+    """Seven metrics per group of scores clipped to [1e-7, 1 - 1e-7]. A staged table is read where it lies."""
+    df = df if is_staged(df) else stage(df.select("row_id", *group, p, label))
+    raw = stage(score_counts(df, group, p, label))
+    counts = raw.groupBy(*group, clipped(F.col("p")).alias("p")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     q, pos, neg = F.col("p"), F.col("pos"), F.col("neg")
     losses = counts.groupBy(*group).agg(
         (F.sum(-pos * F.ln(q) - neg * F.ln(1.0 - q)) / F.sum(pos + neg)).alias("logloss"),
         (F.sum(pos * (1.0 - q) * (1.0 - q) + neg * q * q) / F.sum(pos + neg)).alias("brier"),
     )
     # Every part has one row per group. Clipping does not change the order of scores.
-    parts = [losses, _calibration_gap(counts, group), precision_at_top(df, group, p=p, label=label)]
+    parts = [losses, _calibration_gap(counts, group), _precision(df, raw, group, 0.05, p, label)]
     return reduce(lambda a, b: null_safe_join(a, b, group, "left"), parts, _ranking(counts, group)).select(*group, *METRICS)
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -539,3 +540,36 @@ def test_a_staged_table_is_evaluated_where_it_lies(spark, monkeypatch):
     assert ["row_id", "g", "p", "y"] not in copies
     again = metrics.evaluate(df.where("true"), ["g"]).first()
     assert again[1:] == pytest.approx(staged[1:]) and ["row_id", "g", "p", "y"] in copies
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(session._CLEANUP, None)
+    staged = stage(spark.range(1000).repartition(3, "id"))
+    for _ in range(100):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(session._CLEANUP, None) == setting and staged.count() == 1000
+
+
+def test_large_exchanges_of_encodings_go_share_by_share(spark, monkeypatch):
+    """Two leading columns with missing values and a crowd: shares give the same rates, and no exchange moves all rows."""
+    rows = [(i, None if i % 11 == 0 else i % 37, f"s{i % 23}" if i % 5 else "hot", i % 4, i % 5, float(i % 13 == 0)) for i in range(400)]
+    df = stage(spark.createDataFrame(rows, "row_id int, a int, b string, c int, fold int, y double").repartition(5))
+    fs = FeatureSet(("a", "b"), (("a", "c"), ("b", "c")), ("c",), smoothing=2.0)
+    joined = {r["row_id"]: r for r in fs.train_rows(df).collect()}
+    monkeypatch.setattr(encoding, "MANY", 4)
+    monkeypatch.setattr(encoding, "CROWD", 60)
+    monkeypatch.setattr(encoding, "EXCHANGED", 100)
+    moved = []
+    share = encoding._encode_share
+    monkeypatch.setattr(encoding, "_encode_share", lambda train, rows, *a: moved.append(rows.count()) or share(train, rows, *a))
+    out = fs.train_rows(df).collect()
+    assert len(out) == len({r["row_id"] for r in out}) == len(rows) and len(moved) >= 8 and max(moved) < 300
+    assert all(abs(r[n] - joined[r["row_id"]][n]) < 1e-12 for r in out for n in fs.names)
